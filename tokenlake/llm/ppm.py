@@ -3,8 +3,8 @@
 A text is lower-cased (A-Z), its words joined by single spaces and closed by a newline, which no word holds; the same
 newline stands before the text. The trie of byte contexts up to `order` bytes is learnt from all training texts:
 the counts of (order + 1)-grams are summed by Spark, and those of lower orders are their sums, so that every symbol
-seen after a context was seen after its suffix. An escape has method C's estimate (distinct symbols / (occurrences +
-distinct symbols)), and symbols of a context that was escaped are excluded in the shorter one. As the trie is closed
+seen after a context was seen after its suffix. Escapes are estimated as in method D, with another constant e:
+with t occurrences of d distinct symbols, a symbol seen n times has (n - e) / t and the escape e d / t. Symbols of a context that was escaped are excluded in the shorter one. As the trie is closed
 under suffixes, what is excluded is a property of the context alone, so code lengths are table look-ups.
 
 The trie that goes to the executors has at most `max_nodes` entries: the counts cover all texts, and entries rarer
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from tokenlake.llm.common import saved
 
 END = b"\n"
+#: What an escape takes from each distinct symbol's count.
+ESCAPE = 0.3
 EMPTY = np.uint64((1 << 64) - 1)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 20
@@ -130,11 +132,11 @@ class Trie:
         rest = np.where(depth > 0, total[parent] - taken, 0)
         rest_kinds = np.where(depth > 0, kinds[parent] - kinds, 0)
         with np.errstate(divide="ignore"):
-            self.log_n = np.log10(n).astype(np.float32)
-            self.direct = (np.log10(n) - np.log10((total + kinds)[of])).astype(np.float32)
-            self.escape = (np.log10(kinds) - np.log10(total + kinds)).astype(np.float32)
-            self.rest = np.log10(rest + rest_kinds).astype(np.float32)
-            self.rest_escape = np.where(rest_kinds > 0, np.log10(np.maximum(rest_kinds, 1)) - np.log10(np.maximum(rest + rest_kinds, 1)), 0).astype(np.float32)
+            self.log_n = np.log10(n - ESCAPE).astype(np.float32)
+            self.direct = (np.log10(n - ESCAPE) - np.log10(total[of])).astype(np.float32)
+            self.escape = np.log10(kinds * ESCAPE) - np.log10(total)
+            self.rest = np.log10(rest)
+            self.rest_escape = np.where(rest_kinds > 0, np.log10(np.maximum(rest_kinds, 1) * ESCAPE) - np.log10(np.maximum(rest, 1)), 0)
         self.last = -np.log10(max(1, 256 - int(kinds[depth == 0].sum())))
         return self
 
@@ -200,7 +202,7 @@ def gram_counts(texts: DataFrame, order: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def train(texts: DataFrame, *, order: int = 5, max_nodes: int = 1_500_000) -> Trie:
+def train(texts: DataFrame, *, order: int = 5, max_nodes: int = 3_000_000) -> Trie:
     """The trie of all texts (column text), bounded to max_nodes entries."""
     top = saved(gram_counts(texts, order), "grams")
     cells = [F.struct(F.lit(k).cast("long").alias("k"), (F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))).alias("g")) for k in range(order + 1)]
@@ -259,7 +261,7 @@ def _trie(name: str, shared) -> Trie:
     return _tries[name]
 
 
-def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: int = 50_000, order: int = 5, max_nodes: int = 1_500_000) -> DataFrame:
+def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: int = 200_000, order: int = 5, max_nodes: int = 3_000_000) -> DataFrame:
     """Columns `keep` of docs with n_tokens, n_known, train_tokens, base_score and score; training: a condition on docs."""
     keep = ["doc_id"] if keep is None else keep
     spark = docs.sparkSession
@@ -284,7 +286,7 @@ def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: in
         for batch in batches:
             whole = batch.column(0).to_pylist()
             for at in range(0, len(whole), 512):
-                texts, known, part, rest, tokens = [], [], [], [], []
+                texts, known, part, tokens, rare_words, rare_counts, ends_at = [], [], [], [], [], [], [0]
                 for text in whole[at : at + 512]:
                     own = normal(text)
                     tokens.append(len(own) + 1)
@@ -293,7 +295,9 @@ def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: in
                     found = [(n, logs[w]) for w, n in many.items() if w in logs]
                     known.append(sum(n for n, _ in found) + (ends > 0))
                     part.append(sum(n * x for n, x in found) + end)
-                    rest.append([{"w": w, "n": n} for w, n in many.items() if w not in logs])
+                    rare_words += [w for w in many if w not in logs]
+                    rare_counts += [n for w, n in many.items() if w not in logs]
+                    ends_at.append(len(rare_words))
                 scores, i = [], 0
                 while i < len(texts):
                     j, size = i, 0
@@ -313,7 +317,9 @@ def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: in
                             sum_ += float(trie.log10s(c).sum())
                         scores.append(sum_)
                     i = j
-                cols = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(part, pa.float64()), pa.array(scores, pa.float64()), pa.array(rest, pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))]
+                rest = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["w", "n"])
+                rest = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), rest)
+                cols = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(part, pa.float64()), pa.array(scores, pa.float64()), rest]
                 own = [c.slice(at, 512) for c in batch.columns[1:]]
                 yield pa.RecordBatch.from_arrays([*own, *cols], [*batch.schema.names[1:], "n_tokens", "known", "part", "score", "rest"])
 
