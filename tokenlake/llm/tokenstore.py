@@ -61,12 +61,14 @@ def codec(raw: bytes, level: int = 3):
 def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, *, dict_bytes: int = 32768, sample_docs: int = 2048, sample_chars: int = 16384, level: int = 3) -> TokenStore:
     """Encode whole texts and write them in ascending doc_id order.
 
-    The dictionary is trained on at most `sample_docs` texts (the smallest by a hash of the id) of at most
-    `sample_chars` characters each: a dictionary serves short documents, and its training set is bounded by both.
+    The dictionary is trained on about `sample_docs` texts, chosen by a hash of the id, of at most `sample_chars`
+    characters each: a dictionary serves short documents, and its training set is bounded by both.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    short = rows.where(F.length("text").between(1, sample_chars)).orderBy(F.xxhash64("doc_id", F.lit(7)), "tie").limit(sample_docs)
+    share = sample_docs / max(1, rows.count())
+    u = F.pmod(F.xxhash64("doc_id", "tie", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    short = rows.where((u < share) & F.length("text").between(1, sample_chars))
     from tokenlake.llm.tokens import encoder
 
     enc = encoder(tokenizer)
