@@ -202,21 +202,25 @@ def gram_counts(texts: DataFrame, order: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> int:
+    """The least n such that at most `most` rows have n or more, from a histogram of n in steps of an eighth of log2."""
+    step = F.floor(F.log2("n") * 8)
+    held, least = 0, 1
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high")).collect(), key=lambda r: -r.s):
+        held += r.m
+        if held > most:
+            return r.high + 1
+        least = r.low
+    return least
+
+
 def train(texts: DataFrame, *, order: int = 5, max_nodes: int = 3_000_000) -> Trie:
     """The trie of all texts (column text), bounded to max_nodes entries."""
     top = saved(gram_counts(texts, order), "grams")
     cells = [F.struct(F.lit(k).cast("long").alias("k"), (F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))).alias("g")) for k in range(order + 1)]
     levels = top.select(F.explode(F.array(*cells)).alias("x"), "n").groupBy(F.col("x.k").alias("k"), F.col("x.g").alias("g")).agg(F.sum("n").alias("n"))
     levels = saved(levels, "levels")
-    step = F.floor(F.log2("n") * 4)
-    sizes = {int(r.s): r.m for r in levels.where("k > 0").groupBy(step.alias("s")).agg(F.count("*").alias("m")).collect()}
-    least, held = 0.0, 0
-    for s in sorted(sizes, reverse=True):
-        held += sizes[s]
-        if held > max_nodes:
-            least = 2 ** ((s + 1) / 4) * (1 - 1e-12)
-            break
-    rows = levels.where((F.col("k") == 0) | (F.col("n") >= least)).toPandas()
+    rows = levels.where((F.col("k") == 0) | (F.col("n") >= frequent(levels.where("k > 0"), max_nodes))).toPandas()
     keys = rows["g"].to_numpy(dtype=np.int64).view(np.uint64) | (rows["k"].to_numpy(dtype=np.int64).astype(np.uint64) << np.uint64(56))
     sort = np.argsort(keys)
     return Trie(order, keys[sort], rows["n"].to_numpy(dtype=np.int64)[sort])
@@ -269,7 +273,8 @@ def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: in
     words = saved(word_counts(texts), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = (words.where(F.col("word").isNull()).agg(F.sum("n")).first()[0]) or 0
-    top = words.where(F.col("word").isNotNull()).orderBy(F.desc("n"), "word").limit(heavy).toPandas()
+    known = words.where(F.col("word").isNotNull())
+    top = known.where(F.col("n") >= frequent(known, heavy)).toPandas()
     common = spark.sparkContext.broadcast(dict(zip(map(bytes, top["word"]), map(int, top["n"]), strict=True)))
     rare = words.where(F.col("word").isNotNull()).select(F.col("word").alias("w"), F.col("n").alias("c"))
     shared = spark.sparkContext.broadcast(train(texts, order=order, max_nodes=max_nodes))

@@ -155,12 +155,13 @@ class LoserTree:
 def merged_index(runs: DataFrame, *, range_size: int = 50_000, sample: int = 20_000) -> DataFrame:
     """All captures in global order of urlkey, ts, page_id: the runs' columns, range and rank (place in the range).
 
-    The splitters come from a bounded sample of keys (the smallest by a hash), so they set only the ranges' sizes.
+    The splitters come from a sample of about `sample` keys by a hash; they set only the ranges' sizes.
     """
     n = runs.count()
     ranges = max(1, -(-n // range_size))
     keys = ["urlkey", "ts", "page_id"]
-    picked = runs.select(*keys).orderBy(F.xxhash64(*keys, F.lit(3))).limit(sample if ranges > 1 else 0).orderBy(*keys).collect()
+    u = F.pmod(F.xxhash64(*keys, F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    picked = runs.select(*keys).where(u < sample / n).orderBy(*keys).collect() if ranges > 1 else []
     cuts = [picked[len(picked) * i // ranges] for i in range(1, ranges)] if picked else []
     spark = runs.sparkSession
     low = F.lit(0).cast("timestamp")
