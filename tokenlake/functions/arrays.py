@@ -65,17 +65,25 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def si_sdr(reference: Column, estimate: Column, cap: float = 100.0) -> Column:
     """Scale-invariant signal-to-distortion ratio in dB over the common length; null if the reference is silent."""
     n = F.least(F.size(reference), F.size(estimate))
-    cut = lambda a: F.transform(F.slice(a, F.lit(1), n), lambda x: x.cast("double"))
-    centred = lambda a: F.transform(a, lambda x: x - total(a) / F.size(a))
-    r, e = centred(cut(reference)), centred(cut(estimate))
-    power = lambda a: total(F.transform(a, lambda x: x * x))
-    scale = F.try_divide(total(F.zip_with(r, e, lambda a, b: a * b)), power(r))
-    noise = power(F.zip_with(e, r, lambda a, b: a - scale * b))
-    value = 10 * F.log10(F.try_divide(scale * scale * power(r), noise))
-    return F.when(power(r) == 0, F.lit(None)).when(noise == 0, cap).otherwise(F.least(value, F.lit(cap)))
+    centred = lambda a: let(F.transform(F.slice(a, F.lit(1), n), lambda x: x.cast("double")), lambda v: let(total(v) / F.size(v), lambda m: F.transform(v, lambda x: x - m)))
+    dot = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * y))
+
+    def value(r: Column, e: Column) -> Column:
+        def of(scale: Column, power: Column) -> Column:
+            noise = total(F.zip_with(e, r, lambda a, b: (a - scale * b) * (a - scale * b)))
+            return let(noise, lambda q: F.when(power == 0, F.lit(None).cast("double")).when(q == 0, F.lit(cap)).otherwise(F.least(10 * F.log10(F.try_divide(scale * scale * power, q)), F.lit(cap))))
+
+        return let(dot(r, r), lambda power: let(F.try_divide(dot(r, e), power), lambda scale: of(scale, power)))
+
+    return let(centred(reference), lambda r: let(centred(estimate), lambda e: value(r, e)))
 
 
 def cosine(a: Column, b: Column) -> Column:

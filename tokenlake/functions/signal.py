@@ -8,6 +8,7 @@ from math import gcd
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @lru_cache(maxsize=8)
@@ -63,13 +64,13 @@ def mel_distance(reference, estimate) -> float:
 
 
 def resample(column, source: int, target: int):
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(samples: pd.Series) -> pd.Series:
         return samples.map(lambda s: resampled(s, source, target), na_action="ignore")
 
     return run(column)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mel_l1(reference: pd.Series, estimate: pd.Series) -> pd.Series:
     return pd.Series([mel_distance(r, e) if r is not None and e is not None else None for r, e in zip(reference, estimate, strict=True)])

@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words in Spark and DuckDB regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,17 +51,17 @@ def speakable(text: str, strip_marks: bool = True) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_transcript(text: pd.Series) -> pd.Series:
     return text.map(normalized_transcript, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def speech_text(text: pd.Series) -> pd.Series:
     return text.map(speakable, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def mapped_text(text: pd.Series) -> pd.Series:
     return text.map(lambda t: speakable(t, strip_marks=False), na_action="ignore")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenlake.functions.arrays import FRAME_RATE, IGNORED, VOCABULARY, assemble, padded_to
 from tokenlake.functions.text import ARABIC_LETTER, mapped_text, reject_reason
@@ -23,7 +24,7 @@ PHONEMIZERS: dict[str, Callable[[Column], Column]] = {}
 def register_phonemizer(language: str, make: Callable[[], Callable[[str], str]]) -> None:
     """make() runs once per worker and gives the function of one text (a model need not be picklable)."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(batches: pd.Series) -> pd.Series:
         one = make()
         return batches.map(lambda t: " ".join(one(t).split()), na_action="ignore")

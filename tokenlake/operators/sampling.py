@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenlake.functions.arrays import duration_bucket
 from tokenlake.operators.ranks import global_rank, with_total
@@ -23,7 +24,7 @@ def u01(key: Column, seed: int = 42) -> Column:
 def u01_blake(key: Column, seed: int = 42) -> Column:
     """The same from blake2b-64 (big-endian), which Spark lacks."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def run(keys: pd.Series) -> pd.Series:
         return keys.map(lambda k: int.from_bytes(hashlib.blake2b(f"{seed}:{k}".encode(), digest_size=8).digest(), "big") / 2.0**64, na_action="ignore")
 

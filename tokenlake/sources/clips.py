@@ -133,7 +133,7 @@ def read_wavs(spark: SparkSession, path: str) -> DataFrame:
 def wav_bytes(rows: DataFrame, samples: str = "samples", rate: int = SAMPLE_RATE) -> DataFrame:
     """rows with wav: the samples as a 16-bit mono file's bytes."""
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def encode(column):
         import numpy as np
 
