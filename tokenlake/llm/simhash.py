@@ -1,13 +1,14 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Fingerprints link at 3 or fewer differing bits. 3 is odd, so a fingerprint is seen in four views, each without one of
-its four 16-bit blocks: if 1 to 3 bits differ, the view without a block that holds one of them differs in 2 at most.
-In each view a fingerprint emits every variant within half that radius (the view itself and 48 single flips), so two
-linked fingerprints meet at a variant. The variants are shuffled, and pairs that meet are verified on all 64 bits.
-
-Distinct fingerprints are emitted once each, whatever the number of copies. At most 65536 * 49 distinct fingerprints
-can meet at a variant; where more than `bucket` do, their pairs are not formed. Those fingerprints go through the full
-space instead: each emits all variants within 2 bits if its parity is even and within 1 if odd (odd distances), and
+Fingerprints link at 3 or fewer differing bits. 3 is odd, so a fingerprint is seen in three views, each without one of
+its blocks of 22, 21 and 21 bits: if 1 to 3 bits differ, the view without a block that holds one of them differs in 2
+at most. In each view a fingerprint emits every variant within half that radius (the view itself and its 42 or 43
+single flips), so two linked fingerprints meet at a variant. The variants are shuffled, and pairs that meet are verified
+on all 64 bits.
+
+Distinct fingerprints are emitted once each, whatever the number of copies. Where more than `bucket` of them meet at a
+variant, their pairs are not formed, nor is the group held: its rows are streamed, and marked. Marked fingerprints go
+through the full space instead: each emits all variants within 2 bits if its parity is even and within 1 if odd (odd distances), and
 all within 1 (even ones). There any two that meet under the rule are linked, so a star per variant is exact.
 
 Cases: a null text, an empty one and one without a word have fingerprint 0, linked like any other; null doc_ids count
@@ -30,6 +31,8 @@ RADIUS = 3
 LAST = (1 << 63) - 1
 BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
 BLOCK = 1 << 18
+#: First bit and width of each block that a view leaves out.
+BLOCKS = ((0, 22), (22, 21), (43, 21))
 
 
 def fingerprint(text: str | None) -> int:
@@ -85,11 +88,11 @@ def _emit(make):
 
 
 def _views(fps: np.ndarray):
-    """Variants in the four views: 48 bits of the view, the block's number in the 2 bits above."""
-    flips = _flips(48, 1)
-    for block in range(4):
-        low = fps & np.uint64((1 << 16 * block) - 1)
-        high = (fps >> np.uint64(16 * (block + 1))) << np.uint64(16 * block) if block < 3 else np.zeros_like(fps)
+    """Variants in the three views: the bits of the view, the block's number in the 2 bits from 2^48 on."""
+    for block, (first, size) in enumerate(BLOCKS):
+        flips = _flips(64 - size, 1)
+        low = fps & np.uint64((1 << first) - 1)
+        high = (fps >> np.uint64(first + size)) << np.uint64(first) if first + size < 64 else np.zeros_like(fps)
         keys = ((low | high)[:, None] ^ flips[None, :]) | np.uint64(block << 48)
         yield keys.ravel(), np.repeat(fps, len(flips)), 0
 
@@ -109,35 +112,41 @@ def _linked(bucket: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def pairs(keys, fps):
-            """Links among full runs of equal keys, by the distance between places in the run."""
+        def rows(a, b=None):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b) if b is not None else pa.nulls(len(a), pa.int64())], ["a", "b"])
+
+        def out(keys, fps):
+            """Marks and links of full runs of equal keys; links by the distance between places in the run."""
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[starts, len(keys)])
             crowded = np.repeat(sizes > bucket, sizes)
-            yield fps[crowded], None
+            yield from rows(fps[crowded])
             keys, fps = keys[~crowded], fps[~crowded]
             for step in range(1, bucket):
-                if len(keys) <= step:
-                    break
-                same = np.flatnonzero(keys[step:] == keys[:-step])
+                same = np.flatnonzero(keys[step:] == keys[:-step]) if len(keys) > step else ()
                 if not len(same):
                     break
                 a, b = fps[same], fps[same + step]
                 near = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= RADIUS
-                yield a[near], b[near]
-
-        def out(keys, fps):
-            for a, b in pairs(keys, fps):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b) if b is not None else pa.nulls(len(a), pa.int64())], ["a", "b"])
+                yield from rows(a[near], b[near])
 
-        keys, fps = np.empty(0, np.int64), np.empty(0, np.int64)
+        keys, fps, streamed = np.empty(0, np.int64), np.empty(0, np.int64), None
         for batch in batches:
-            keys, fps = np.r_[keys, batch.column(0).to_numpy()], np.r_[fps, batch.column(1).to_numpy()]
+            new, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if streamed is not None:  # the rest of a crowded run
+                n = int(np.searchsorted(new, streamed, side="right"))
+                yield from rows(own[:n])
+                new, own = new[n:], own[n:]
+                streamed = None if len(new) else streamed
+            keys, fps = np.r_[keys, new], np.r_[fps, own]
             if len(keys) and keys[0] != keys[-1]:
                 cut = int(np.searchsorted(keys, keys[-1]))
                 yield from out(keys[:cut], fps[:cut])
                 keys, fps = keys[cut:], fps[cut:]
+            if len(keys) > bucket:
+                yield from rows(fps)
+                keys, fps, streamed = keys[:0], fps[:0], int(keys[0])
         if len(keys):
             yield from out(keys, fps)
 
@@ -156,7 +165,8 @@ def links(distinct: DataFrame, bucket: int = 48) -> DataFrame:
     even = stars.where((F.col("side") == 0) & (F.col("low") < F.col("high"))).select("variant", F.lit(0).alias("side"), F.col("low").alias("hub"))
     odd = stars.where((F.col("side") == 1) & F.col("even").isNotNull() & F.col("odd").isNotNull()).select("variant", F.lit(1).alias("side"), F.col("odd").alias("hub"))
     sides = rest.select("variant", "fp", same.alias("side"))
-    star = sides.join(even.unionByName(odd), ["variant", "side"]).where(F.col("hub") != F.col("fp")).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    # variants are made by a function, whose output Spark takes to be as small as its input: no broadcast here
+    star = sides.join(even.unionByName(odd).hint("merge"), ["variant", "side"]).where(F.col("hub") != F.col("fp")).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     both = met.where(F.col("b").isNotNull()).unionByName(star)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -168,11 +178,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(low.hint("merge"), "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        small = down.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = saved(small.where("a <> b").distinct(), "stars")
         n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (n, total) == before:
@@ -185,9 +195,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     rows = saved(fingerprints(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text"), ["doc_id"]), "fingerprints")
     distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     found = components(links(distinct))
-    member = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    member = distinct.join(found.hint("merge"), distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(member.join(lowest, "root").select("fp", "root", "component_id"), "fp")
+    return rows.join(member.join(lowest.hint("merge"), "root").select("fp", "root", "component_id").hint("merge"), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
