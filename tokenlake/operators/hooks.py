@@ -12,7 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tokenlake.functions.arrays import DECODE_RATE, FRAME_RATE, HOP, VOCABULARY
 from tokenlake.operators.sampling import exact_length_batches
@@ -87,5 +86,3 @@ def downmix(channels: str = "channels"):
     """The mean over channels of an array of equal-length arrays."""
     return F.expr(f"transform({channels}[0], (x, i) -> aggregate({channels}, 0D, (s, c) -> s + c[i]) / size({channels}))")
 
-
-EVAL_ROWS = T.StructType.fromDDL("idx int, category string, model string, seed int, text string, phones string, n_phone_tokens int, n_codes int, duration_s double, hit_eos boolean, at_min_floor boolean, at_max_tokens boolean, rate_ratio double, duration_verdict string, unique_ratio double, repeat_frac double, max_run int, degeneracy_verdict string, wav string")

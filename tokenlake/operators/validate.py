@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tokenlake.functions.arrays import SAMPLE_RATE, VOCABULARY, expected_frames
 from tokenlake.functions.text import is_blank
-from tokenlake.sources.clips import ENCODER_TAG, RELEASE, require_columns
+from tokenlake.schemas import RELEASE
+from tokenlake.sources.clips import ENCODER_TAG, require_columns
 
 
 def token_reason(tokens: Column, n_samples: Column, tolerance: int = 1) -> Column:

@@ -14,13 +14,11 @@ from pyspark.sql import types as T
 
 from tokenlake.functions.arrays import HOP, SAMPLE_RATE
 from tokenlake.functions.text import WORD, is_blank
+from tokenlake.schemas import HYPOTHESIS, TOKEN_STORE
 
 #: The codec's tag in a release. Set it to the tag that the data carry.
 ENCODER_TAG = "codec-v1"
 REQUIRED = ("id", "audio", "text", "duration", "channel", "sample_rate", "n_channels")
-RELEASE = T.StructType.fromDDL("audio_id string, text string, channel string, duration double, n_samples long, tokens array<int>, encoder string, sampling_rate int")
-TOKEN_STORE = T.StructType.fromDDL("audio_id string, tokens array<int>, n_samples long, duration double, text string, channel string, expected_frames long")
-HYPOTHESIS = T.StructType.fromDDL("audio_id string, text string, error string")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
