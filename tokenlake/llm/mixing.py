@@ -51,8 +51,8 @@ def share_table(cells: DataFrame, dim: str, target: dict | float) -> DataFrame:
         got = have.join(got, F.col("h").eqNullSafe(F.col("v"))).select(F.col("h").alias("v"), "goal")
     else:
         got = cells.groupBy(F.col(dim).cast("string").alias("v")).agg(F.pow(F.sum("t").cast("double"), F.lit(float(target))).alias("goal"))
-    whole = got.agg(F.sum("goal").alias("whole"))
-    return got.join(F.broadcast(whole)).select("v", (F.col("goal") / F.col("whole")).alias("goal"))  # whole is one row
+    whole = got.agg(F.sum("goal")).first()[0]
+    return got.select("v", (F.col("goal") / F.lit(whole or 1.0)).alias("goal"))
 
 
 def rake(cells: DataFrame, targets: dict[str, dict | float], sweeps: int = 6) -> DataFrame:
@@ -73,9 +73,9 @@ def calibrate(raked: DataFrame, budget: float, rounds: int = 4) -> DataFrame:
     now = raked.withColumn("p", F.lit(0.0))
     for _ in range(rounds):
         full = F.col("p") >= 1
-        sums = now.agg(F.sum("t").alias("all"), F.coalesce(F.sum(F.when(full, F.col("t"))), F.lit(0)).alias("taken"), F.sum(F.when(~full, F.col("w"))).alias("open"))
-        rate = F.greatest(F.col("all") * F.lit(float(budget)) - F.col("taken"), F.lit(0.0)) / F.col("open")
-        now = now.join(F.broadcast(sums)).withColumn("p", F.when(full, 1.0).when((F.col("t") > 0) & (F.col("open") > 0), F.least(F.lit(1.0), rate * F.col("w") / F.col("t"))).otherwise(F.lit(0.0))).drop("all", "taken", "open")  # sums is one row
+        whole, taken, open_ = now.agg(F.sum("t"), F.sum(F.when(full, F.col("t"))), F.sum(F.when(~full, F.col("w")))).first()
+        rate = max((whole or 0) * float(budget) - (taken or 0), 0.0) / open_ if open_ else 0.0
+        now = now.withColumn("p", F.when(full, 1.0).when(F.col("t") > 0, F.least(F.lit(1.0), F.lit(rate) * F.col("w") / F.col("t"))).otherwise(F.lit(0.0)))
         now = saved(now, "rates")
     return now
 
