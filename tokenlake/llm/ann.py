@@ -3,7 +3,8 @@
 Inner products become distances by one more coordinate: with the largest norm M of all vectors, x / M gets
 sqrt(1 - |x|^2 / M^2), and a query q / |q| gets 0; the nearest such point has the largest inner product. Each block of
 vectors keeps `projections` arrays sorted by one random projection each. A query opens a window centred at its own
-projection in every array, counts for each vector in how many windows it lies, and verifies (exactly, on the original
+projection in every array, first as wide as the nearest of a small sample asks for, counts for each vector in how many
+windows it lies (or, where a window holds most, how many it is outside of), and verifies (exactly, on the original
 vectors) those that reach the collision threshold. Virtual rehashing widens the windows by a factor and counts only
 what is new, until the k-th verified point lies within the radius that the windows stand for. In the last round the
 windows cover everything, so no query ends with fewer than it could have.
@@ -37,50 +38,69 @@ class CollisionIndex:
         self.order = np.argsort(at, axis=0, kind="stable").T.astype(np.int32).copy()
         self.sorted = np.take_along_axis(at.T, self.order, axis=1)
         self.largest = largest
+        self.single = vectors.astype(np.float32)
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, *, share: float = 0.75, half: float = 1.5, first: float = 0.5, widen: float = 1.2):
+    def first_radii(self, queries: np.ndarray, norms: np.ndarray, own: np.ndarray, sample: int) -> np.ndarray:
+        """Where each query's windows start: the distance of the nearest in a sample of the block."""
+        some = np.random.default_rng(1).permutation(len(self.ids))[:sample]
+        scores = queries @ self.vectors[some].T
+        scores[own[:, None] == self.ids[some][None, :]] = -np.inf
+        best = scores.max(axis=1, initial=-self.largest)
+        return np.sqrt(np.maximum(2 - 2 * np.maximum(best / (norms * self.largest), -1), 1e-6))
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, *, share: float = 0.75, half: float = 1.5, widen: float = 1.2, sample: int = 256):
         """For each query (ids, scores) of the best k found. half: a window's half-width in radii; share: the threshold."""
         n, m = len(self.ids), len(self.lines)
         norms = np.sqrt((queries * queries).sum(axis=1))
         centre = (queries / norms[:, None]) @ self.lines[:, :-1].T
-        radii = [first]
-        while radii[-1] < 2:
-            radii.append(radii[-1] * widen)
-        reach = np.array(radii) * half
+        radii = self.first_radii(queries, norms, own, sample)
         least = int(np.ceil(share * m))
-        # places of every window's ends: projection, query, round
-        low = np.stack([np.searchsorted(self.sorted[p], centre[:, p, None] - reach) for p in range(m)])
-        high = np.stack([np.searchsorted(self.sorted[p], centre[:, p, None] + reach, side="right") for p in range(m)])
-        for q in range(len(queries)):
+        reach = half * radii
+        low = np.stack([np.searchsorted(self.sorted[p], centre[:, p] - reach) for p in range(m)])
+        high = np.stack([np.searchsorted(self.sorted[p], centre[:, p] + reach, side="right") for p in range(m)])
+        for q, query in enumerate(queries):
+            radius, a, b, base = float(radii[q]), low[:, q], high[:, q], 0
             counts = np.zeros(n, dtype=np.int16)
-            seen = np.zeros(n, dtype=bool)
-            seen[self.ids == own[q]] = True
+            for p in range(m):
+                line = self.order[p]
+                if 2 * (b[p] - a[p]) <= n:
+                    counts[line[a[p] : b[p]]] += 1
+                else:  # the window holds most: count those outside
+                    base += 1
+                    counts[line[: a[p]]] -= 1
+                    counts[line[b[p] :]] -= 1
+            seen = self.ids == own[q]
             got_at, got = np.empty(0, np.int64), np.empty(0)
-            a, b = low[:, q], high[:, q]
-            for r, radius in enumerate([*radii, np.inf]):
-                if radius == np.inf:
-                    new = np.flatnonzero(~seen)
-                else:
-                    for p in range(m):
-                        line = self.order[p]
-                        if r == 0:
-                            counts[line[a[p, 0] : b[p, 0]]] += 1
-                        else:
-                            counts[line[a[p, r] : a[p, r - 1]]] += 1
-                            counts[line[b[p, r - 1] : b[p, r]]] += 1
-                    new = np.flatnonzero((counts >= least) & ~seen)
+            while True:
+                new = np.flatnonzero((counts >= least - base) & ~seen) if radius < np.inf else np.flatnonzero(~seen)
                 if len(new):
                     seen[new] = True
-                    scores = (self.vectors[new] * queries[q]).sum(axis=1)
-                    got_at, got = np.r_[got_at, new], np.r_[got, scores]
-                    if len(got) > k:
-                        best = np.lexsort((self.ids[got_at], -got))[:k]
-                        got_at, got = got_at[best], got[best]
+                    got_at, got = self.verified(query, norms[q], new, got_at, got, k)
                 # squared distance of the transformed points: 2 - 2 q.x / (|q| M)
-                if len(got) >= k and 2 - 2 * got[k - 1] / (norms[q] * self.largest) <= radius * radius:
+                if radius == np.inf or len(got) >= k and 2 - 2 * got[k - 1] / (norms[q] * self.largest) <= radius * radius:
                     break
-            best = np.lexsort((self.ids[got_at], -got))[:k]
-            yield self.ids[got_at[best]], got[best]
+                if radius > 2:
+                    radius = np.inf
+                    continue
+                radius *= widen
+                for p in range(m):
+                    line = self.order[p]
+                    c, d = np.searchsorted(self.sorted[p], centre[q, p] - half * radius), np.searchsorted(self.sorted[p], centre[q, p] + half * radius, side="right")
+                    counts[line[c : a[p]]] += 1
+                    counts[line[b[p] : d]] += 1
+                    a[p], b[p] = c, d
+            yield self.ids[got_at], got
+
+    def verified(self, query: np.ndarray, norm: float, new: np.ndarray, got_at: np.ndarray, got: np.ndarray, k: int):
+        """The best k of those got and the new ones: single precision leaves out what cannot be among them."""
+        if len(new) > k:
+            rough = self.single[new] @ query.astype(np.float32)
+            slack = 1e-4 * norm * self.largest
+            new = new[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack]
+        scores = (self.vectors[new] * query).sum(axis=1)
+        at, scores = np.r_[got_at, new], np.r_[got, scores]
+        best = np.lexsort((self.ids[at], -scores))[:k]
+        return at[best], scores[best]
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
