@@ -33,6 +33,27 @@ def saved(df: DataFrame, name: str, sort: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> str:
+    """The folder in the shared one that df is written to, for workers that read it themselves."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+def read_columns(path: str, *columns: str) -> list:
+    """Columns (numpy arrays, or lists of bytes) of a table written to the shared folder, read by one process."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, root = filesystem(path)
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+    tables = [pq.read_table(f, columns=list(columns), filesystem=store) for f in files]
+    import pyarrow as pa
+
+    whole = pa.concat_tables(tables)
+    return [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in (whole.column(n) for n in columns)]
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a shared folder's URI or absolute path, on the driver or an executor."""
     from pyarrow import fs

@@ -4,13 +4,15 @@ A text is lower-cased (A-Z), its words joined by single spaces and closed by a n
 newline stands before the text. The trie of byte contexts up to `order` bytes is learnt from all training texts:
 the counts of (order + 1)-grams are summed by Spark, and those of lower orders are their sums, so that every symbol
 seen after a context was seen after its suffix. Escapes are estimated as in method D, with another constant e:
-with t occurrences of d distinct symbols, a symbol seen n times has (n - e) / t and the escape e d / t. Symbols of a context that was escaped are excluded in the shorter one. As the trie is closed
-under suffixes, what is excluded is a property of the context alone, so code lengths are table look-ups.
+with t occurrences of d distinct symbols, a symbol seen n times has (n - e) / t and the escape e d / t. Symbols of a
+context that was escaped are excluded in the shorter one. As the trie is closed under suffixes, what is excluded is a
+property of the context alone, so code lengths are table look-ups.
 
-The trie that goes to the executors has at most `max_nodes` entries: the counts cover all texts, and entries rarer
-than the least frequency that fits are left to the escapes. That bound is the model's memory, and the broadcast's.
+The trie that scores has at most `max_nodes` entries: the counts cover all texts, and entries rarer than the least
+frequency that fits are left to the escapes. It is a table in the shared folder that each worker reads, so nothing of
+it passes through the driver.
 
-Base: words are counted over all training texts. Counts of at most `heavy` most frequent words are broadcast; the
+Base: words are counted over all training texts. Workers read the counts of at most `heavy` most frequent words; the
 documents' other words meet their counts in a join, after each document has summed its own.
 
 Cases: a null or empty text has one token, the end; without any training text the base and the model are uniform (all
@@ -20,7 +22,6 @@ gives no row; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenlake.llm.common import saved
+from tokenlake.llm.common import read_columns, saved, written
 
 END = b"\n"
 #: What an escape takes from each distinct symbol's count.
@@ -137,6 +138,7 @@ class Trie:
             self.escape = np.log10(kinds * ESCAPE) - np.log10(total)
             self.rest = np.log10(rest)
             self.rest_escape = np.where(rest_kinds > 0, np.log10(np.maximum(rest_kinds, 1) * ESCAPE) - np.log10(np.maximum(rest, 1)), 0)
+        self.keys = self.counts = None
         self.last = -np.log10(max(1, 256 - int(kinds[depth == 0].sum())))
         return self
 
@@ -214,16 +216,21 @@ def frequent(counts: DataFrame, most: int) -> int:
     return least
 
 
-def train(texts: DataFrame, *, order: int = 5, max_nodes: int = 3_000_000) -> Trie:
-    """The trie of all texts (column text), bounded to max_nodes entries."""
+def train(texts: DataFrame, *, order: int = 5, max_nodes: int = 3_000_000) -> str:
+    """The folder of the trie's entries (k: order, g: gram, n) of all texts (column text), max_nodes and 256 at most."""
     top = saved(gram_counts(texts, order), "grams")
     cells = [F.struct(F.lit(k).cast("long").alias("k"), (F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))).alias("g")) for k in range(order + 1)]
     levels = top.select(F.explode(F.array(*cells)).alias("x"), "n").groupBy(F.col("x.k").alias("k"), F.col("x.g").alias("g")).agg(F.sum("n").alias("n"))
     levels = saved(levels, "levels")
-    rows = levels.where((F.col("k") == 0) | (F.col("n") >= frequent(levels.where("k > 0"), max_nodes))).toPandas()
-    keys = rows["g"].to_numpy(dtype=np.int64).view(np.uint64) | (rows["k"].to_numpy(dtype=np.int64).astype(np.uint64) << np.uint64(56))
+    return written(levels.where((F.col("k") == 0) | (F.col("n") >= frequent(levels.where("k > 0"), max_nodes))).coalesce(4), "trie")
+
+
+def load(path: str, order: int) -> Trie:
+    """The trie of a folder, ready to score; each worker reads it itself."""
+    k, g, n = read_columns(path, "k", "g", "n")
+    keys = g.view(np.uint64) | (k.astype(np.uint64) << np.uint64(56))
     sort = np.argsort(keys)
-    return Trie(order, keys[sort], rows["n"].to_numpy(dtype=np.int64)[sort])
+    return Trie(order, keys[sort], n[sort]).ready()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -254,38 +261,36 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-_tries: dict[str, Trie] = {}
+_models: dict[str, tuple[Trie, dict[bytes, int]]] = {}
 
 
-def _trie(name: str, shared) -> Trie:
-    """This worker's tables of a broadcast trie, made once."""
-    if name not in _tries:
-        _tries.clear()
-        _tries[name] = shared.value.ready()
-    return _tries[name]
+def _model(trie: str, words: str, order: int) -> tuple[Trie, dict[bytes, int]]:
+    """This worker's tables and common words, read once."""
+    if trie not in _models:
+        _models.clear()
+        _models[trie] = load(trie, order), dict(zip(*read_columns(words, "word", "n"), strict=True))
+    return _models[trie]
 
 
 def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: int = 200_000, order: int = 5, max_nodes: int = 3_000_000) -> DataFrame:
     """Columns `keep` of docs with n_tokens, n_known, train_tokens, base_score and score; training: a condition on docs."""
     keep = ["doc_id"] if keep is None else keep
-    spark = docs.sparkSession
     texts = docs.where(training).select("text")
     words = saved(word_counts(texts), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = (words.where(F.col("word").isNull()).agg(F.sum("n")).first()[0]) or 0
     known = words.where(F.col("word").isNotNull())
-    top = known.where(F.col("n") >= frequent(known, heavy)).toPandas()
-    common = spark.sparkContext.broadcast(dict(zip(map(bytes, top["word"]), map(int, top["n"]), strict=True)))
+    common = written(known.where(F.col("n") >= frequent(known, heavy)).coalesce(1), "common")
     rare = words.where(F.col("word").isNotNull()).select(F.col("word").alias("w"), F.col("n").alias("c"))
-    shared = spark.sparkContext.broadcast(train(texts, order=order, max_nodes=max_nodes))
-    base, name = 0.1 * (distinct + 1) + total, uuid.uuid4().hex
+    model = train(texts, order=order, max_nodes=max_nodes)
+    base = 0.1 * (distinct + 1) + total
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         from tokenlake.llm import ppm
 
-        trie, counts = ppm._trie(name, shared), common.value
+        trie, counts = ppm._model(model, common, order)
         logs = {w: np.log10((c + 0.1) / base) for w, c in counts.items()}
         end = np.log10((ends + 0.1) / base)
         for batch in batches:
