@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenlake.sources.clips import cut
 
-def global_rank(df: DataFrame, *keys: str, name: str = "rank") -> DataFrame:
+
+def global_rank(df: DataFrame, *keys: str, name: str = "rank", total: str | None = None) -> DataFrame:
     """df with its 0-based position in the order of keys (which must be unique for the order to be fixed).
 
-    Rows are range-partitioned and numbered within partitions; the partitions' sizes (one small row each) give offsets.
+    Rows are range-partitioned, written once, and numbered within partitions; the partitions' sizes (one small row
+    each) give offsets, and the number of all rows in a column `total` if asked for.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(max(1, n), *keys).withColumn("_part", F.spark_partition_id())
+    parts = cut(df.repartitionByRange(max(1, n), *keys).withColumn("_part", F.spark_partition_id()), "ranks")
     numbered = parts.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    whole = [F.sum("_n").over(Window.partitionBy()).alias(total)] if total else []
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"), *whole)
     return numbered.join(offsets, "_part").withColumn(name, F.col("_ahead") + F.col("_local") - 1).drop("_part", "_local", "_ahead")
 
 
-def with_total(df: DataFrame, name: str = "n") -> DataFrame:
-    """df with its number of rows in a column (one row is broadcast)."""
-    return df.join(F.broadcast(df.agg(F.count("*").alias(name))))
-
-
 def exclusive_quantile(ranked: DataFrame, value: str, p: float) -> Column:
     """An aggregate over ranked rows (columns rank, n): the exclusive quantile, interpolated between two positions."""
     at = F.lit(p) * (F.col("n") + 1) - 1
@@ -39,13 +39,13 @@ def floor_quantile(value: str, p: float) -> Column:
 
 def even_sample(df: DataFrame, k: int, *keys: str) -> DataFrame:
     """The rows at positions (i * n) // k, with i: a sample that reaches both ends."""
-    ranked = with_total(global_rank(df, *keys))
+    ranked = global_rank(df, *keys, total="n")
     low = F.ceil(F.col("rank") * k / F.col("n")).cast("long")
     return ranked.withColumn("i", low).where((F.col("i") < k) & (F.floor(F.col("i") * F.col("n") / k) == F.col("rank"))).drop("n")
 
 
 def stride_sample(df: DataFrame, k: int, *keys: str) -> DataFrame:
     """The rows at positions i * max(1, n // k) for i below k."""
-    ranked = with_total(global_rank(df, *keys))
+    ranked = global_rank(df, *keys, total="n")
     step = F.greatest(F.lit(1), F.floor(F.col("n") / k)).cast("long")
     return ranked.withColumn("step", step).where((F.col("rank") % F.col("step") == 0) & (F.col("rank") / F.col("step") < k)).drop("n", "step")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenlake.functions.arrays import duration_bucket
-from tokenlake.operators.ranks import global_rank, with_total
+from tokenlake.operators.ranks import global_rank
 
 EDGES = (2.0, 4.0, 6.0, 8.0, 10.0)
 
@@ -71,7 +71,7 @@ def exact_length_batches(clips: DataFrame, max_batch: int = 1, key: str = "audio
 
 def train_eval_split(rows: DataFrame, requested: int, seed: int = 42, key: str = "audio_id") -> DataFrame:
     """rows with split: min(requested, max(1, n // 10)) of them eval, by a hash of the key."""
-    ranked = with_total(global_rank(rows.withColumn("_u", u01(F.col(key), seed)), "_u", key))
+    ranked = global_rank(rows.withColumn("_u", u01(F.col(key), seed)), "_u", key, total="n")
     size = F.least(F.lit(requested), F.greatest(F.lit(1), F.floor(F.col("n") / 10)))
     return ranked.withColumn("split", F.when(F.col("rank") < size, "eval").otherwise("train")).drop("_u", "rank", "n")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenlake.functions import text as tx
 from tokenlake.operators import ranks, stats
 from tokenlake.plans.registry import query
-from tokenlake.sources.clips import CLIPS_SQL, UTTERANCES_SQL, clips, table, utterances
+from tokenlake.sources.clips import CLIPS_SQL, UTTERANCES_SQL, clips, cut, table, utterances
 
 #: References are turns; the original's transcript lacks system turns and every 13th word, the reconstruction's every 7th.
 HYPS_SQL = UTTERANCES_SQL + """, norm as (select *, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(text, '\\p{P}', '', 'g'), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '^ | $', '', 'g') as ref from utterances),
@@ -28,7 +28,7 @@ def hypotheses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, o, e = hypotheses(spark, sf_dir)
-    return stats.clip_counts(r.join(o, "audio_id").join(e, "audio_id"), normalize=False)
+    return cut(stats.clip_counts(r.join(o, "audio_id").join(e, "audio_id"), normalize=False), "counts")
 
 
 @query(f"with {HYPS_SQL} select audio_id, len(w)::bigint as n_ref, len(wo)::bigint as n_orig, len(wr)::bigint as n_recon from pairs")
@@ -116,7 +116,7 @@ def exclusive_sql(p: str) -> str:
 
 @query(f"with {CLIPS_SQL}, ranked as (select duration as x, row_number() over (order by duration, audio_id) - 1 as rank, count(*) over () as n from clips) select round(avg(x), 6) as mean, {exclusive_sql('0.5')} as median, {exclusive_sql('0.05')} as p5, {exclusive_sql('0.95')} as p95 from ranked")
 def metric_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranks.with_total(ranks.global_rank(clips(spark, sf_dir).select("audio_id", F.col("duration").alias("x")), "x", "audio_id"))
+    rows = ranks.global_rank(clips(spark, sf_dir).select("audio_id", F.col("duration").alias("x")), "x", "audio_id", total="n")
     q = lambda p: F.round(ranks.exclusive_quantile(rows, "x", p), 6)
     return rows.agg(F.round(F.avg("x"), 6).alias("mean"), q(0.5).alias("median"), q(0.05).alias("p5"), q(0.95).alias("p95"))
 

@@ -178,7 +178,7 @@ def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {CLIPS_SQL}, by_length as (select audio_id, n_samples, row_number() over (order by n_samples, audio_id) - 1 as rank, count(*) over () as n from clips) select p, audio_id, n_samples from by_length, (values (0.1::double), (0.5::double), (0.9::double)) t(p) where rank = floor(p * (n - 1))::bigint")
 def gt_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips at length quantiles."""
-    rows = ranks.with_total(ranks.global_rank(clips(spark, sf_dir).select("audio_id", "n_samples"), "n_samples", "audio_id"))
+    rows = ranks.global_rank(clips(spark, sf_dir).select("audio_id", "n_samples"), "n_samples", "audio_id", total="n")
     at = F.expr("filter(array(0.1D, 0.5D, 0.9D), p -> floor(p * (n - 1)) = rank)")
     return rows.select(F.explode(at).alias("p"), "audio_id", "n_samples")
 

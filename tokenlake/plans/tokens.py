@@ -9,7 +9,7 @@ from tokenlake.functions.arrays import fsq_digits
 from tokenlake.operators import ranks
 from tokenlake.operators import tokens as tk
 from tokenlake.plans.registry import query
-from tokenlake.sources.clips import CLIPS_SQL, clips
+from tokenlake.sources.clips import CLIPS_SQL, clips, cut
 
 COUNTS_SQL = CLIPS_SQL + ", flat as (select unnest(tokens) as token from clips), freq as (select token, count(*) as n from flat group by 1), ranked as (select *, row_number() over (order by n desc, token) as rank, sum(n) over () as total from freq)"
 
@@ -53,7 +53,7 @@ BANDS_SQL = DEGENERACY_SQL + "".join(f", b_{k} as (select {k}::double as x, row_
 
 @query(f"with {BANDS_SQL} select measure, round(p05, 9) as p05, round(median, 9) as median, round(p95, 9) as p95 from bands")
 def reference_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bands(tk.degeneracy(clips(spark, sf_dir))).withColumns({c: F.round(c, 9) for c in ("p05", "median", "p95")})
+    return bands(cut(tk.degeneracy(clips(spark, sf_dir)), "degeneracy")).withColumns({c: F.round(c, 9) for c in ("p05", "median", "p95")})
 
 
 def bands(measured: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def bands(measured: DataFrame) -> DataFrame:
     long = measured.where("n_codes > 25").select("audio_id", F.posexplode(F.array(*[F.col(k).cast("double") for k in BAND_KEYS])).alias("m", "x"))
     out = None
     for m, k in enumerate(BAND_KEYS):
-        rows = ranks.with_total(ranks.global_rank(long.where(F.col("m") == m).select("x", "audio_id"), "x", "audio_id"))
+        rows = ranks.global_rank(long.where(F.col("m") == m).select("x", "audio_id"), "x", "audio_id", total="n")
         one = rows.agg(*[ranks.floor_quantile("x", p).alias(q) for q, p in (("p05", 0.05), ("median", 0.5), ("p95", 0.95))]).select(F.lit(k).alias("measure"), "p05", "median", "p95")
         out = one if out is None else out.unionByName(one)
     return out
@@ -69,7 +69,7 @@ def bands(measured: DataFrame) -> DataFrame:
 
 @query(f"with {BANDS_SQL}, r as (select max(p05) filter (where measure = 'unique_ratio') as u, max(p95) filter (where measure = 'repeat_frac') as f, max(p95) filter (where measure = 'max_run') as m from bands), flags as (select audio_id, unique_ratio < u as a, repeat_frac > greatest(f, 0.02) as b, max_run > greatest(m, 3) as c from degenerate, r) select audio_id, case when a or b or c then concat_ws(';', case when a then 'LOW_DIVERSITY' end, case when b then 'LOOPING' end, case when c then 'STUCK' end) else 'ok' end as verdict from flags")
 def degeneracy_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = tk.degeneracy(clips(spark, sf_dir))
+    measured = cut(tk.degeneracy(clips(spark, sf_dir)), "degeneracy")
     at = lambda m, q: F.max(F.when(F.col("measure") == m, F.col(q)))
     one = bands(measured).agg(at("unique_ratio", "p05").alias("u"), at("repeat_frac", "p95").alias("f"), at("max_run", "p95").alias("m"))
     rows = measured.join(F.broadcast(one))  # one row

@@ -93,7 +93,7 @@ LENGTHS_SQL = PREPARED_SQL + ", r as (select n as x, row_number() over (order by
 
 @query(f"with {LENGTHS_SQL} select " + ", ".join(f"max(x) filter (where rank = floor({p}::double * (n - 1))) as {q}" for q, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + ", max(x) as longest from r")
 def seq_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranks.with_total(ranks.global_rank(pp.kept(prepared(spark, sf_dir)).select("audio_id", F.col("length").alias("x")), "x", "audio_id"))
+    rows = ranks.global_rank(pp.kept(prepared(spark, sf_dir)).select("audio_id", F.col("length").alias("x")), "x", "audio_id", total="n")
     return rows.agg(*[ranks.floor_quantile("x", p).alias(q) for q, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.max("x").alias("longest"))
 
 
@@ -107,7 +107,7 @@ TOKENS_SQL = CLIPS_SQL + ", r as (select len(tokens)::bigint as x, row_number()
 
 
 def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranks.with_total(ranks.global_rank(clips(spark, sf_dir).select("audio_id", F.size("tokens").cast("long").alias("x")), "x", "audio_id"))
+    return ranks.global_rank(clips(spark, sf_dir).select("audio_id", F.size("tokens").cast("long").alias("x")), "x", "audio_id", total="n")
 
 
 @query(f"with {TOKENS_SQL} select min(x) as shortest, " + ", ".join(f"round({exclusive(p)}, 6) as {q}" for q, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))) + ", max(x) as longest, sum(x)::bigint as total from r")
