@@ -25,6 +25,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tokenlake/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with its session's Arrow batches bounded to `rows` (fewer, if the session says so already).
+
+    Rows hold whole texts, so ten thousand of them (Spark's default) are far more memory than a task needs at once.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def saved(df: DataFrame, name: str, sort: list[str] | None = None) -> DataFrame:
     """df, written as a table in the shared folder and read again: a cut of the lineage that outlives executors."""
     spark = df.sparkSession

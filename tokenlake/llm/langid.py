@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenlake.llm.common import saved, small_batches
+
 LETTERS = re.compile(r"[^\W\d_]+")
 SIZES = (3, 4)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -131,10 +133,8 @@ def train(labelled: DataFrame, *, docs_per_lang: int = 2000, cutoff: float = 2e-
                 values, many = np.unique(np.concatenate(hs), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values.view(np.int64)), pa.array(many)], ["lang", "gram", "n"])
 
-    counted = rows.where(u < share).select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
+    counted = rows.where(u < share).select("text", "lang").transform(small_batches).mapInArrow(count, "lang string, gram long, n long")
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from tokenlake.llm.common import saved
-
     summed = saved(summed, "langid")
     totals = {r.lang: r.n for r in summed.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
@@ -158,4 +158,4 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(predict, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return small_batches(docs).mapInArrow(predict, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenlake.llm.common import saved
+from tokenlake.llm.common import saved, small_batches
 
 CAPACITY = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
@@ -141,7 +141,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPA
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt", *["ids"] * with_ids]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + ", ids array<long>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(small_batches).mapInArrow(cut, PIECES + ", ids array<long>" * with_ids)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = 20_000) -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenlake.llm.common import read_columns, saved, written
+from tokenlake.llm.common import read_columns, saved, small_batches, written
 
 END = b"\n"
 #: What an escape takes from each distinct symbol's count.
@@ -201,7 +201,7 @@ def gram_counts(texts: DataFrame, order: int) -> DataFrame:
         if parts:
             yield from out(parts)
 
-    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select("text").transform(small_batches).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int) -> int:
@@ -258,7 +258,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if ends:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([ends], pa.int64())], ["word", "n"])
 
-    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").transform(small_batches).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 _models: dict[str, tuple[Trie, dict[bytes, int]]] = {}
@@ -337,7 +337,7 @@ def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: in
 
     rows = docs.select(F.col("text").alias("_text"), *keep)
     extra = T._parse_datatype_string("n_tokens long, known long, part double, score double, rest array<struct<w: binary, n: long>>").fields
-    first = rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], *extra])).withColumn("_row", F.monotonically_increasing_id())
+    first = small_batches(rows).mapInArrow(run, T.StructType([*rows.schema.fields[1:], *extra])).withColumn("_row", F.monotonically_increasing_id())
     first = saved(first, "scored")
     left = first.select("_row", F.explode("rest").alias("x")).select("_row", "x.w", "x.n")
     met = left.join(rare, "w", "left")

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenlake.llm.common import saved, small_batches
+
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\r\x0b\x0c"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -68,7 +70,7 @@ def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             cols = [pa.array([g[i] for g in got], pa.int64()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], [*batch.schema.names[1:], *names])
 
-    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], *[T.StructField(n, T.LongType()) for n in names]]))
+    out = small_batches(rows).mapInArrow(run, T.StructType([*rows.schema.fields[1:], *[T.StructField(n, T.LongType()) for n in names]]))
     return out.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
 
 
@@ -113,8 +115,6 @@ def thresholds(counts: DataFrame, labels: DataFrame, stratum: str = "lang", *, r
         cells.append(F.struct(F.lit(rule).alias("rule"), above.alias("level")))
     hist = own.select("stratum", "good", F.explode(F.array(*cells)).alias("x")).groupBy("stratum", "x.rule", "x.level")
     hist = hist.agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") == 0).alias("bad"))
-    from tokenlake.llm.common import saved
-
     hist = saved(hist, "quality")
     strata = hist.select("stratum").distinct().count()
     tests = max(1, strata) * sum(len(c) for _, c in RULES.values())

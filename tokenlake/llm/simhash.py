@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenlake.llm.common import saved
+from tokenlake.llm.common import saved, small_batches
 
 RADIUS = 3
 LAST = (1 << 63) - 1
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             fps = np.array([fingerprint(t) for t in batch.column(0).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps)], [*batch.schema.names[1:], "fp"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("fp", T.LongType())]))
+    return small_batches(rows).mapInArrow(run, T.StructType([*rows.schema.fields[1:], T.StructField("fp", T.LongType())]))
 
 
 def _flips(width: int, radius: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm.common import filesystem, saved, shared_dir
+from tokenlake.llm.common import filesystem, saved, shared_dir, small_batches
 
 MAGIC = b"TLTOK1"
 HEADER = struct.Struct("<6sB8s")
@@ -108,7 +108,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, *, dict_bytes:
         if out is not None:
             out.close()
 
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ordered = small_batches(rows).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     index = saved(ordered.mapInArrow(write, INDEX), "token-index")
     return TokenStore(path, index, raw, mark)
 

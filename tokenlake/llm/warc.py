@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenlake.llm.common import filesystem, saved, shared_dir
+from tokenlake.llm.common import filesystem, saved, shared_dir, small_batches
 
 LEAST = 1000
 RUN = "run string, seq long, urlkey string, ts timestamp, page_id long, file string, offset long, size long"
@@ -107,7 +107,7 @@ def write_archives(pages: DataFrame, ts: str | None = None, *, level: int = 4) -
                     ["run", "seq", "urlkey", "ts", "page_id", "file", "offset", "size"],
                 )
 
-    return path, saved(marked(pages, ts).mapInArrow(write, RUN), "runs")
+    return path, saved(small_batches(marked(pages, ts)).mapInArrow(write, RUN), "runs")
 
 
 class LoserTree:
