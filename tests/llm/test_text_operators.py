@@ -261,7 +261,7 @@ def test_probabilities_sum_to_one_at_most():
         values, inverse = np.unique(top & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
         keys.append(values | np.uint64(k << 56))
         many.append(np.bincount(inverse, weights=n).astype(np.int64))
-    trie = ppm.Trie(2, np.concatenate(keys), np.concatenate(many)).ready()
+    trie = ppm.Trie.build(2, np.concatenate(keys), np.concatenate(many))
     for context in (b"ab", b"zz", b"za", b"\n\n"):
         every = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], dtype=np.uint64)
         assert 0.99 < (10 ** trie.log10s(every)).sum() <= 1 + 1e-6

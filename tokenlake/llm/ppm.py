@@ -64,38 +64,32 @@ def prepared(words: list[bytes]) -> bytes:
 
 
 class Table:
-    """Open addressing from 64-bit keys to positions in the array of keys."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(2 * max(1, len(keys))))))
-        size = 1 << self.bits
-        self.slots = np.full(size, EMPTY)
-        self.where = np.full(size, -1, dtype=np.int32)
-        left, at = np.arange(len(keys)), self.start(keys)
-        while len(left):
-            free = self.slots[at[left]] == EMPTY
-            try_ = left[free]
-            self.slots[at[try_]] = keys[try_]
-            won = self.slots[at[try_]] == keys[try_]
-            self.where[at[try_[won]]] = try_[won]
-            left = np.r_[left[~free], try_[~won]]
-            at[left] = (at[left] + 1) & (size - 1)
+    """Positions of 64-bit keys, which are kept sorted by a hash that loses nothing; an index of its top bits leads in."""
+
+    def __init__(self, hashed: np.ndarray):
+        self.hashed = hashed
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(hashed))))))
+        edges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        self.first = np.searchsorted(hashed, edges).astype(np.int32)
 
-    def start(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+    @staticmethod
+    def hash(keys: np.ndarray) -> np.ndarray:
+        return keys * SPREAD
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Positions of keys, -1 where absent."""
-        at = self.start(keys)
-        got = self.slots[at]
-        out = np.where(got == keys, self.where[at], np.int32(-1))
-        left = np.flatnonzero((got != keys) & (got != EMPTY))
+        want = self.hash(keys)
+        at = self.first[(want >> np.uint64(64 - self.bits)).astype(np.int64)]
+        out = np.full(len(keys), -1, dtype=np.int32)
+        left = np.arange(len(keys))
         while len(left):
-            at[left] = (at[left] + 1) & (len(self.slots) - 1)
-            got = self.slots[at[left]]
-            hit = got == keys[left]
-            out[left[hit]] = self.where[at[left[hit]]]
-            left = left[~hit & (got != EMPTY)]
+            inside = at < len(self.hashed)
+            left, at = left[inside], at[inside]
+            seen, own = self.hashed[at], want[left]
+            hit = seen == own
+            out[left[hit]] = at[hit]
+            on = seen < own
+            left, at = left[on], at[on] + 1
         return out
 
 
@@ -104,43 +98,68 @@ def tagged(grams: np.ndarray, order: int) -> np.ndarray:
     return (grams & np.uint64((1 << 8 * (order + 1)) - 1)) | np.uint64(order << 56)
 
 
+#: Columns of a trie's table: of entries (kind 0) the logs of their share and count, of contexts (kind 1) those of the
+#: escape, of what is left of the shorter context, and of the escape from that; of the whole (kind 2) the last resort.
+TRIE = "kind byte, key long, a float, b float, c float"
+
+
 @dataclass
 class Trie:
-    """entries (order, gram of order + 1 bytes, count), tagged and sorted."""
+    """What scoring looks up. A context's values say how its symbols are excluded from the next shorter one."""
 
     order: int
-    keys: np.ndarray
-    counts: np.ndarray
-
-    def ready(self) -> Trie:
-        keys, n = self.keys, self.counts.astype(np.float64)
+    entry: Table
+    context: Table
+    direct: np.ndarray
+    log_n: np.ndarray
+    escape: np.ndarray
+    rest: np.ndarray
+    rest_escape: np.ndarray
+    last: float
+
+    @classmethod
+    def build(cls, order: int, keys: np.ndarray, counts: np.ndarray) -> Trie:
+        """From entries (order and gram, tagged; sorted) and their counts."""
+        n = counts.astype(np.float64)
         orders = keys >> np.uint64(56)
         contexts = ((keys & np.uint64((1 << 56) - 1)) >> np.uint64(8)) | (orders << np.uint64(56))
-        self.contexts, first = np.unique(contexts, return_index=True)
-        ends = np.r_[first[1:], len(keys)]
+        contexts, first = np.unique(contexts, return_index=True)
+        ends = np.r_[first[1:], len(keys)].astype(np.int64)
         total = np.add.reduceat(n, first) if len(keys) else np.empty(0)
         kinds = (ends - first).astype(np.float64)
-        of = np.repeat(np.arange(len(first)), ends - first)
-        self.entry, self.context = Table(keys), Table(self.contexts)
+        of = np.repeat(np.arange(len(first), dtype=np.int32), ends - first)
+        by, by_context = np.argsort(Table.hash(keys)), np.argsort(Table.hash(contexts))
+        entry, context = Table(Table.hash(keys)[by]), Table(Table.hash(contexts)[by_context])
         # what remains of the next shorter context without this one's symbols
-        mask = (np.uint64(1) << (np.uint64(8) * np.maximum(orders, np.uint64(1)))) - np.uint64(1)
-        lower = self.entry.find((keys & mask) | ((np.maximum(orders, np.uint64(1)) - np.uint64(1)) << np.uint64(56)))
+        shorter = np.maximum(orders, np.uint64(1)) - np.uint64(1)
+        lower = entry.find((keys & ((np.uint64(1) << (np.uint64(8) * (shorter + np.uint64(1)))) - np.uint64(1))) | (shorter << np.uint64(56)))
         lower[orders == 0] = -1
-        taken = np.bincount(of, weights=np.where(lower >= 0, n[lower], 0), minlength=len(first))
-        depth = self.contexts >> np.uint64(56)
-        cut = (np.uint64(1) << (np.uint64(8) * (np.maximum(depth, np.uint64(1)) - np.uint64(1)))) - np.uint64(1)
-        parent = self.context.find((self.contexts & cut) | ((np.maximum(depth, np.uint64(1)) - np.uint64(1)) << np.uint64(56)))
-        rest = np.where(depth > 0, total[parent] - taken, 0)
-        rest_kinds = np.where(depth > 0, kinds[parent] - kinds, 0)
+        taken = np.bincount(of, weights=np.where(lower >= 0, n[by][lower], 0), minlength=len(first))
+        depth = contexts >> np.uint64(56)
+        shorter = np.maximum(depth, np.uint64(1)) - np.uint64(1)
+        parent = context.find((contexts & ((np.uint64(1) << (np.uint64(8) * shorter)) - np.uint64(1))) | (shorter << np.uint64(56)))
+        rest = np.where(depth > 0, total[by_context][parent] - taken, 0)
+        rest_kinds = np.where(depth > 0, kinds[by_context][parent] - kinds, 0)
         with np.errstate(divide="ignore"):
-            self.log_n = np.log10(n - ESCAPE).astype(np.float32)
-            self.direct = (np.log10(n - ESCAPE) - np.log10(total[of])).astype(np.float32)
-            self.escape = np.log10(kinds * ESCAPE) - np.log10(total)
-            self.rest = np.log10(rest)
-            self.rest_escape = np.where(rest_kinds > 0, np.log10(np.maximum(rest_kinds, 1) * ESCAPE) - np.log10(np.maximum(rest, 1)), 0)
-        self.keys = self.counts = None
-        self.last = -np.log10(max(1, 256 - int(kinds[depth == 0].sum())))
-        return self
+            log_n = np.log10(n - ESCAPE)
+            direct = log_n - np.log10(total[of])
+            escape = np.log10(kinds * ESCAPE) - np.log10(total)
+            rest_escape = np.where(rest_kinds > 0, np.log10(np.maximum(rest_kinds, 1) * ESCAPE) - np.log10(np.maximum(rest, 1)), 0)
+            rest = np.log10(rest)
+        single = lambda x, order_: x[order_].astype(np.float32)
+        last = -np.log10(max(1, 256 - int(kinds[depth == 0].sum())))
+        return cls(order, entry, context, single(direct, by), single(log_n, by), single(escape, by_context), single(rest, by_context), single(rest_escape, by_context), float(last))
+
+    def batches(self) -> Iterator:
+        """The rows of TRIE."""
+        import pyarrow as pa
+
+        zero = lambda n: np.zeros(n, dtype=np.float32)
+        parts = [(0, self.entry.hashed, self.direct, self.log_n, zero(len(self.log_n))), (1, self.context.hashed, self.escape, self.rest, self.rest_escape), (2, np.zeros(1, np.uint64), np.array([self.last], np.float32), zero(1), zero(1))]
+        for kind, keys, *values in parts:
+            for i in range(0, len(keys), 1 << 16):
+                cut = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[cut]), kind, np.int8)), pa.array(keys[cut].view(np.int64)), *(pa.array(v[cut]) for v in values)], ["kind", "key", "a", "b", "c"])
 
     def log10s(self, grams: np.ndarray) -> np.ndarray:
         """log10 of each byte's probability after its context."""
@@ -193,7 +212,10 @@ def gram_counts(texts: DataFrame, order: int) -> DataFrame:
                     parts.append(counted(ready))
                     held += len(parts[-1][0])
                     ready, size = [], 0
-                    if held > 6 * BLOCK:
+                    if held > 2 * BLOCK:
+                        parts = [summed(parts)]
+                        held = len(parts[0][0])
+                    if held > 4 * BLOCK:
                         yield from out(parts)
                         parts, held = [], 0
         if ready:
@@ -217,20 +239,31 @@ def frequent(counts: DataFrame, most: int) -> int:
 
 
 def train(texts: DataFrame, *, order: int = 5, max_nodes: int = 3_000_000) -> str:
-    """The folder of the trie's entries (k: order, g: gram, n) of all texts (column text), max_nodes and 256 at most."""
+    """The folder of the trie of all texts (column text); it has max_nodes entries, and 256 of order 0, at most."""
     top = saved(gram_counts(texts, order), "grams")
     cells = [F.struct(F.lit(k).cast("long").alias("k"), (F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))).alias("g")) for k in range(order + 1)]
     levels = top.select(F.explode(F.array(*cells)).alias("x"), "n").groupBy(F.col("x.k").alias("k"), F.col("x.g").alias("g")).agg(F.sum("n").alias("n"))
     levels = saved(levels, "levels")
-    return written(levels.where((F.col("k") == 0) | (F.col("n") >= frequent(levels.where("k > 0"), max_nodes))).coalesce(4), "trie")
+    few = levels.where((F.col("k") == 0) | (F.col("n") >= frequent(levels.where("k > 0"), max_nodes)))
+
+    def build(batches: Iterator) -> Iterator:
+        from tokenlake.llm.ppm import Trie
+
+        parts = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches]
+        k, g, n = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(3))
+        keys = g.view(np.uint64) | (k.astype(np.uint64) << np.uint64(56))
+        sort = np.argsort(keys)
+        yield from Trie.build(order, keys[sort], n[sort]).batches()
+
+    # one task, whose input is bounded by max_nodes
+    return written(few.select("k", "g", "n").repartition(1).mapInArrow(build, TRIE), "trie")
 
 
 def load(path: str, order: int) -> Trie:
     """The trie of a folder, ready to score; each worker reads it itself."""
-    k, g, n = read_columns(path, "k", "g", "n")
-    keys = g.view(np.uint64) | (k.astype(np.uint64) << np.uint64(56))
-    sort = np.argsort(keys)
-    return Trie(order, keys[sort], n[sort]).ready()
+    kind, key, a, b, c = read_columns(path, "kind", "key", "a", "b", "c")
+    e, x = kind == 0, kind == 1
+    return Trie(order, Table(key[e].view(np.uint64)), Table(key[x].view(np.uint64)), a[e], b[e], a[x], b[x], c[x], float(a[kind == 2][0]))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -261,14 +294,14 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").transform(small_batches).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-_models: dict[str, tuple[Trie, dict[bytes, int]]] = {}
+_models: dict[str, tuple[Trie, dict[bytes, float]]] = {}
 
 
-def _model(trie: str, words: str, order: int) -> tuple[Trie, dict[bytes, int]]:
-    """This worker's tables and common words, read once."""
+def _model(trie: str, words: str, order: int) -> tuple[Trie, dict[bytes, float]]:
+    """This worker's tables and the logs of the common words, read once."""
     if trie not in _models:
         _models.clear()
-        _models[trie] = load(trie, order), dict(zip(*read_columns(words, "word", "n"), strict=True))
+        _models[trie] = load(trie, order), dict(zip(*read_columns(words, "word", "log"), strict=True))
     return _models[trie]
 
 
@@ -280,18 +313,18 @@ def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: in
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = (words.where(F.col("word").isNull()).agg(F.sum("n")).first()[0]) or 0
     known = words.where(F.col("word").isNotNull())
-    common = written(known.where(F.col("n") >= frequent(known, heavy)).coalesce(1), "common")
+    base = 0.1 * (distinct + 1) + total
+    log = lambda c: F.log10((c + F.lit(0.1)) / F.lit(float(base)))
+    common = written(known.where(F.col("n") >= frequent(known, heavy)).select("word", log(F.col("n")).alias("log")).repartition(1), "common")
     rare = words.where(F.col("word").isNotNull()).select(F.col("word").alias("w"), F.col("n").alias("c"))
     model = train(texts, order=order, max_nodes=max_nodes)
-    base = 0.1 * (distinct + 1) + total
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         from tokenlake.llm import ppm
 
-        trie, counts = ppm._model(model, common, order)
-        logs = {w: np.log10((c + 0.1) / base) for w, c in counts.items()}
+        trie, logs = ppm._model(model, common, order)
         end = np.log10((ends + 0.1) / base)
         for batch in batches:
             whole = batch.column(0).to_pylist()
@@ -342,6 +375,6 @@ def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: in
     left = first.select("_row", F.explode("rest").alias("x")).select("_row", "x.w", "x.n")
     met = left.join(rare, "w", "left")
     c = F.coalesce("c", F.lit(0))
-    sums = met.groupBy("_row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((c + F.lit(0.1)) / F.lit(float(base)))).alias("sum"))
+    sums = met.groupBy("_row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * log(c)).alias("sum"))
     out = first.drop("rest").join(sums, "_row", "left")
     return out.select(*keep, "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("part") + F.coalesce("sum", F.lit(0.0))).alias("base_score"), "score")
