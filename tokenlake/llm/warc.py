@@ -2,7 +2,7 @@
 
 Each task writes one archive of gzip members and a run: its captures sorted by URL key and timestamp. The runs are
 then merged: splitters on the whole sort key cut the key space into ranges of like size (a hot host or URL spans
-several), and each range merges its slices of all runs with a loser tree. The ranges follow each other, so the index
+several), and each range, which is a task's bounded share, merges its slices of all runs with a loser tree. The ranges follow each other, so the index
 is in global order. Only runs that Spark committed name an archive, so what a lost task wrote is never read.
 
 A payload of at least `least` bytes that occurs more than once is stored in the row with the largest page_id; the
@@ -152,60 +152,36 @@ class LoserTree:
             self.tree[0] = winner
 
 
-def merged_index(runs: DataFrame, *, range_size: int = 50_000, sample: int = 20_000) -> DataFrame:
+def merged_index(runs: DataFrame, *, range_size: int = 50_000) -> DataFrame:
     """All captures in global order of urlkey, ts, page_id: the runs' columns, range and rank (place in the range).
 
-    The splitters come from a sample of about `sample` keys by a hash; they set only the ranges' sizes.
+    Spark samples the whole sort key for the ranges' splitters, so a hot URL spans several; in a range each run's slice
+    is in order already (run, seq), and the slices are merged. Ranges are tasks, and follow each other.
     """
-    n = runs.count()
-    ranges = max(1, -(-n // range_size))
-    keys = ["urlkey", "ts", "page_id"]
-    u = F.pmod(F.xxhash64(*keys, F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    picked = runs.select(*keys).where(u < sample / n).orderBy(*keys).collect() if ranges > 1 else []
-    cuts = [picked[len(picked) * i // ranges] for i in range(1, ranges)] if picked else []
-    spark = runs.sparkSession
-    low = F.lit(0).cast("timestamp")
-    own = F.struct(F.col("urlkey"), F.coalesce("ts", low).alias("ts"), F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id"))
-    if cuts:
-        bounds = spark.createDataFrame([(c.urlkey, c.ts, c.page_id) for c in cuts], "urlkey string, ts timestamp, page_id long")
-        bounds = bounds.agg(F.sort_array(F.collect_list(F.struct("urlkey", F.coalesce("ts", low).alias("ts"), F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id")))).alias("bounds"))  # a row per range
-        placed = runs.join(F.broadcast(bounds)).withColumn("range", F.size(F.filter("bounds", lambda b: b <= own))).drop("bounds")
-    else:
-        placed = runs.withColumn("range", F.lit(0))
+    ranges = max(1, -(-runs.count() // range_size))
 
     def merge(batches: Iterator) -> Iterator:
-        """Rows sorted by range, run and seq: a range's runs follow each other, each in order."""
         import pyarrow as pa
+        from pyspark import TaskContext
 
         from tokenlake.llm.warc import LoserTree
 
-        def out(table):
-            runs, starts = table.column("run").to_pylist(), [0]
-            starts += [i for i in range(1, len(runs)) if runs[i] != runs[i - 1]]
-            cols = [table.column(c).to_pylist() for c in ("urlkey", "ts", "page_id")]
-            low = -(1 << 63)
-            key = [(u, t.timestamp() if t is not None else 0.0, p if p is not None else low) for u, t, p in zip(*cols, strict=True)]
-            slices = [iter([(key[i], i) for i in range(a, b)]) for a, b in zip(starts, [*starts[1:], len(runs)], strict=True)]
-            order = [i for _, i in LoserTree(slices)]
-            got = table.take(pa.array(order, pa.int64())).append_column("rank", pa.array(range(len(order)), pa.int64()))
-            yield from got.to_batches()
-
-        held: list = []
-        for batch in batches:
-            at, ids = 0, batch.column(batch.schema.get_field_index("range")).to_pylist()
-            for i in range(1, len(ids) + 1):
-                if i == len(ids) or ids[i] != ids[i - 1]:
-                    part = batch.slice(at, i - at)
-                    if held and held[0].column(part.schema.get_field_index("range"))[0] != part.column(part.schema.get_field_index("range"))[0]:
-                        yield from out(pa.Table.from_batches(held))
-                        held = []
-                    held.append(part)
-                    at = i
-        if held:
-            yield from out(pa.Table.from_batches(held))
-
-    dealt = placed.repartitionById(ranges, "range") if ranges > 1 else placed.coalesce(1)
-    return dealt.sortWithinPartitions("range", "run", "seq").mapInArrow(merge, RUN + ", range int, rank long")
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        names = table.column("run").to_pylist()
+        starts = [i for i in range(len(names)) if not i or names[i] != names[i - 1]]
+        low = -(1 << 63)
+        cols = [table.column(c).to_pylist() for c in ("urlkey", "ts", "page_id")]
+        key = [(u, t.timestamp() if t is not None else float("-inf"), p if p is not None else low) for u, t, p in zip(*cols, strict=True)]
+        slices = [iter([(key[i], i) for i in range(x, y)]) for x, y in zip(starts, [*starts[1:], len(names)], strict=True)]
+        order = [i for _, i in LoserTree(slices)]
+        got = table.take(pa.array(order, pa.int64())).append_column("range", pa.array([TaskContext.get().partitionId()] * len(order), pa.int32()))
+        yield from got.append_column("rank", pa.array(range(len(order)), pa.int64())).to_batches()
+
+    dealt = runs.repartitionByRange(ranges, "urlkey", "ts", "page_id").sortWithinPartitions("run", "seq")
+    return dealt.mapInArrow(merge, RUN + ", range int, rank long")
 
 
 def read_captures(path: str, index: DataFrame) -> DataFrame:
