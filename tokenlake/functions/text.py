@@ -17,18 +17,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 
 # Characters that the two normalisations treat by name.
-DIACRITICS = "ؐ-ًؚ-ٰٟۖ-ۭـ"
-UNIFIED = {"أ": "ا", "إ": "ا", "آ": "ا", "ى": "ي", "ة": "ه"}
-PUNCTUATION = {"؟": "?", "،": ",", "؛": ";", "۔": ".", "…": ".", "–": "-", "—": "-"}
-QUOTES = {"‘": "'", "’": "'", "“": '"', "”": '"'}
-TATWEEL = "ـ"
-INVISIBLE = "​‌‍‎‏‪‫‬‭‮⁦⁧⁨⁩ ﻿"
-ARABIC_LETTER = "[ؠ-يٱ-ۓۺ-ۿݐ-ݿ]"
+DIACRITICS = "\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06ED\u0640"
+UNIFIED = {"\u0623": "\u0627", "\u0625": "\u0627", "\u0622": "\u0627", "\u0649": "\u064A", "\u0629": "\u0647"}
+PUNCTUATION = {"\u061F": "?", "\u060C": ",", "\u061B": ";", "\u06D4": ".", "\u2026": ".", "\u2013": "-", "\u2014": "-"}
+QUOTES = {"\u2018": "'", "\u2019": "'", "\u201C": '"', "\u201D": '"'}
+TATWEEL = "\u0640"
+INVISIBLE = "\u200B\u200C\u200D\u200E\u200F\u202A\u202B\u202C\u202D\u202E\u2066\u2067\u2068\u2069\u00A0\uFEFF"
+ARABIC_LETTER = "[\u0620-\u064A\u0671-\u06D3\u06FA-\u06FF\u0750-\u077F]"
 
 _speech_map = str.maketrans(PUNCTUATION | QUOTES | {TATWEEL: None} | dict.fromkeys(INVISIBLE, " "))
 _unify = str.maketrans(UNIFIED)
 _marks = re.compile(f"[{DIACRITICS}]")
-_symbols = re.compile("[^\\w\\s؀-ۿ]")
+_symbols = re.compile("[^\\w\\s\u0600-\u06FF]")
 
 
 @lru_cache(maxsize=1 << 16)
