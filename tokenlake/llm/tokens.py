@@ -14,9 +14,10 @@ from array import array
 
 import numpy as np
 
-#: ASCII but control characters, Latin-1 and Latin Extended without the dotted capital I: here NFC changes nothing,
-#: lower case is one code point to one, and all Unicode versions agree on letters and digits.
-UNSAFE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]")
+#: Safe: ASCII but control characters, Latin-1 and Latin Extended without the dotted capital I: here NFC changes
+#: nothing, lower case is one code point to one, and all Unicode versions agree on letters and digits. The letters that
+#: stand for a space and a line's end in byte-level vocabularies (U+0120, U+010A) are marks here, so they are not safe.
+UNSAFE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u0109\u010b-\u011f\u0121-\u012f\u0131-\u024f]")
 #: The pre-tokenizer patterns of the two public vocabularies, over the safe range.
 LETTER, DIGIT = r"[^\W\d_]", r"[0-9²³¹¼½¾]"
 WORD_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|(?:(?![²³¹¼½¾]){LETTER})+|{DIGIT}|(?:(?!{LETTER}|{DIGIT})\S|[²³¹¼½¾])+?(?=\s|{LETTER}|{DIGIT}|$)")
@@ -25,7 +26,7 @@ CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Entries in either of the two generations of a worker's cache.
 CACHE = 350_000
 #: White space whose runs a byte-level vocabulary does not cut one by one.
-RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "Ġ", "Ċ")
+RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 
 
 def byte_letters() -> dict[int, str]:
@@ -54,6 +55,7 @@ class Encoder:
         self.fast = spec["model"]["type"] == "BPE" and (self.lower or spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre.get("add_prefix_space"))
         self.letters = byte_letters()
         self.latin = {b: c for b, c in self.letters.items() if chr(b) != c}
+        self.ends = {c: self.piece(c) for c in ".,"}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -69,11 +71,31 @@ class Encoder:
             text = text.encode().decode("latin-1").translate(self.latin)
         return self.pack([t.id for t in self.model.tokenize(text)])
 
+    def word(self, text: str) -> bytes:
+        """The ids of letters, with or without the space before them: one pre-token."""
+        got = self.new.get(text) or self.old.get(text)
+        if got is None:
+            space = text[0] in " Ġ" and not self.lower
+            body = text[1:] if space else text
+            if not body.isascii():
+                body = body.encode().decode("latin-1").translate(self.latin)
+            got = self.pack([t.id for t in self.model.tokenize("Ġ" + body if space else body)])
+        return got
+
     def chunk(self, text: str) -> bytes:
+        """The ids of what stands between white spaces; most often a word, or one with a full stop or comma."""
         got = self.old.get(text)
         if got is None:
-            if self.lower:
-                got = self.piece(text) if text.isalpha() else b"".join(map(self.piece, WORD_SPLIT.findall(text)))
+            core = text[:-1] if text[-1] in ".," else text
+            letters = core[1:] if core[:1] in (" ", "Ġ") and not self.lower else core
+            if letters.isalpha() and text != "Ċ":
+                got = self.word(core)
+                if len(core) < len(text):
+                    got += self.ends[text[-1]]
+                    if len(core) <= 64:
+                        self.new.setdefault(core, got[: -len(self.ends[text[-1]])])
+            elif self.lower:
+                got = b"".join(map(self.piece, WORD_SPLIT.findall(text)))
             else:
                 got = b"".join(map(self.piece, BYTE_SPLIT.findall(text.replace("Ġ", " ").replace("Ċ", "\n"))))
         if len(self.new) >= CACHE:
