@@ -306,3 +306,16 @@ def test_differences():
     assert licenses.differences("a b c".split(), "x a b c y".split()) == 0
     assert licenses.differences("a b c".split(), "x a q c y".split()) == 1
     assert licenses.differences("a b c".split(), []) == 3
+
+
+def license_names(spark, texts):
+    """The licenses found in each text, in its order."""
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id", "block_start").collect()
+    return [[r.license for r in got if r.doc_id == i] for i in range(len(texts))]
+
+
+def test_every_confirmed_place_is_given(spark):
+    prose = "the house of the river and a permission to use this software in the public under any work is here " * 3
+    names = list(licenses.TEMPLATES)
+    assert license_names(spark, [f"{prose}{licenses.TEMPLATES[n]} {prose}" for n in names]) == [[n] for n in names]
+    assert license_names(spark, [f"{licenses.TEMPLATES['MIT']}\n{licenses.TEMPLATES['All-rights-reserved']}"]) == [["MIT", "All-rights-reserved"]]
