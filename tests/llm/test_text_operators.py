@@ -319,3 +319,11 @@ def test_every_confirmed_place_is_given(spark):
     names = list(licenses.TEMPLATES)
     assert license_names(spark, [f"{prose}{licenses.TEMPLATES[n]} {prose}" for n in names]) == [[n] for n in names]
     assert license_names(spark, [f"{licenses.TEMPLATES['MIT']}\n{licenses.TEMPLATES['All-rights-reserved']}"]) == [["MIT", "All-rights-reserved"]]
+
+
+def test_wrapped_notices_are_found(spark):
+    names = list(licenses.TEMPLATES)
+    for width in (2, 6):
+        words = [licenses.TEMPLATES[n].split() for n in names]
+        wrapped = ["\n# ".join(" ".join(w[i : i + width]) for i in range(0, len(w), width)) for w in words]
+        assert license_names(spark, [f"x\n\n# {w}\ny" for w in wrapped]) == [[n] for n in names]
