@@ -327,3 +327,8 @@ def test_wrapped_notices_are_found(spark):
         words = [licenses.TEMPLATES[n].split() for n in names]
         wrapped = ["\n# ".join(" ".join(w[i : i + width]) for i in range(0, len(w), width)) for w in words]
         assert license_names(spark, [f"x\n\n# {w}\ny" for w in wrapped]) == [[n] for n in names]
+
+
+def test_cues_of_several_words_in_long_lines(spark):
+    text = "copyright " + "x " * 200 + "All rights reserved. " + "y " * 200 + licenses.TEMPLATES["MIT-permission"]
+    assert license_names(spark, [text, text.replace(" All", "\nAll")]) == [[None, "All-rights-reserved", "MIT-permission"]] * 2
