@@ -277,6 +277,20 @@ def test_score_without_training_or_rows(spark, docs):
     assert ppm.score(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_model_keeps_every_entry(spark):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000))) for i in range(9)], "doc_id long, text string")
+    got = ppm.score(docs, F.col("doc_id") > 0).collect()
+    assert len(got) == 9  # 3.5 million entries; nearly all contexts of the longest are seen once, in their own text
+    assert all((r.score > -0.3 * 100_000) == (r.doc_id > 0) for r in got)
+
+
+def test_scores_do_not_depend_on_chunks(spark, docs, monkeypatch):
+    whole = sorted(map(str, ppm.score(docs, F.col("doc_id") % 3 != 0, keep=["doc_id", "lang"]).selectExpr("doc_id", "lang", "n_known", "round(score, 3)").collect()))
+    monkeypatch.setattr(ppm, "CHUNK", 3000)
+    assert whole == sorted(map(str, ppm.score(docs, F.col("doc_id") % 3 != 0, keep=["doc_id", "lang"]).selectExpr("doc_id", "lang", "n_known", "round(score, 3)").collect()))
+
+
 def test_frequent(spark):
     df = spark.createDataFrame([(n,) for n in [1] * 50 + [2] * 20 + [9] * 5], "n long")
     assert ppm.frequent(df, 1000) == 1 and ppm.frequent(df, 30) == 2 and ppm.frequent(df, 10) == 3 and ppm.frequent(df, 2) == 10

@@ -8,9 +8,11 @@ with t occurrences of d distinct symbols, a symbol seen n times has (n - e) / t
 context that was escaped are excluded in the shorter one. As the trie is closed under suffixes, what is excluded is a
 property of the context alone, so code lengths are table look-ups.
 
-The trie that scores has at most `max_nodes` entries: the counts cover all texts, and entries rarer than the least
-frequency that fits are left to the escapes. It is a table in the shared folder that each worker reads, so nothing of
-it passes through the driver.
+No process holds the trie, and no entry is left out. The code length of a byte depends on its (order + 1)-gram alone,
+and what it needs from the trie of orders 2 on are entries whose contexts end in the same two bytes. So the trie is
+built in parts by these two bytes (orders 0 and 1, 65 792 entries at most, are a table that each worker reads), and
+each part gives the code lengths of the distinct grams of the scored texts. Texts are scored in chunks of about `CHUNK`
+bytes, which meet the code lengths of their distinct grams in a join.
 
 Base: words are counted over all training texts. Workers read the counts of at most `heavy` most frequent words; the
 documents' other words meet their counts in a join, after each document has summed its own.
@@ -38,6 +40,8 @@ ESCAPE = 0.3
 EMPTY = np.uint64((1 << 64) - 1)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 20
+#: Bytes of text that are scored together, about.
+CHUNK = 8 << 20
 
 
 def normal(text: str | None) -> list[bytes]:
@@ -63,6 +67,27 @@ def prepared(words: list[bytes]) -> bytes:
     return b" ".join(words) + END
 
 
+def runs(texts: list[bytes], order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, end, codes of texts first to end, where each starts), of about BLOCK bytes; long texts come in parts."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= BLOCK):
+            size += len(texts[j])
+            j += 1
+        if size <= 4 * BLOCK:
+            yield i, j, *codes(texts[i:j], order)
+        else:  # one very long text
+            long = END * order + texts[i]
+            for b in range(order, len(long), BLOCK):
+                flat = long[b - order : b + BLOCK]
+                c = np.zeros(len(flat) - order, dtype=np.uint64)
+                for at in range(order + 1):
+                    c = (c << np.uint64(8)) | np.frombuffer(flat, dtype=np.uint8)[at : at + len(c)]
+                yield i, j, c, np.zeros(1, dtype=np.int64)
+        i = j
+
+
 class Table:
     """Positions of 64-bit keys, which are kept sorted by a hash that loses nothing; an index of its top bits leads in."""
 
@@ -98,11 +123,6 @@ def tagged(grams: np.ndarray, order: int) -> np.ndarray:
     return (grams & np.uint64((1 << 8 * (order + 1)) - 1)) | np.uint64(order << 56)
 
 
-#: Columns of a trie's table: of entries (kind 0) the logs of their share and count, of contexts (kind 1) those of the
-#: escape, of what is left of the shorter context, and of the escape from that; of the whole (kind 2) the last resort.
-TRIE = "kind byte, key long, a float, b float, c float"
-
-
 @dataclass
 class Trie:
     """What scoring looks up. A context's values say how its symbols are excluded from the next shorter one."""
@@ -150,17 +170,6 @@ class Trie:
         last = -np.log10(max(1, 256 - int(kinds[depth == 0].sum())))
         return cls(order, entry, context, single(direct, by), single(log_n, by), single(escape, by_context), single(rest, by_context), single(rest_escape, by_context), float(last))
 
-    def batches(self) -> Iterator:
-        """The rows of TRIE."""
-        import pyarrow as pa
-
-        zero = lambda n: np.zeros(n, dtype=np.float32)
-        parts = [(0, self.entry.hashed, self.direct, self.log_n, zero(len(self.log_n))), (1, self.context.hashed, self.escape, self.rest, self.rest_escape), (2, np.zeros(1, np.uint64), np.array([self.last], np.float32), zero(1), zero(1))]
-        for kind, keys, *values in parts:
-            for i in range(0, len(keys), 1 << 16):
-                cut = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[cut]), kind, np.int8)), pa.array(keys[cut].view(np.int64)), *(pa.array(v[cut]) for v in values)], ["kind", "key", "a", "b", "c"])
-
     def log10s(self, grams: np.ndarray) -> np.ndarray:
         """log10 of each byte's probability after its context."""
         out = np.zeros(len(grams))
@@ -238,32 +247,65 @@ def frequent(counts: DataFrame, most: int) -> int:
     return least
 
 
-def train(texts: DataFrame, *, order: int = 5, max_nodes: int = 3_000_000) -> str:
-    """The folder of the trie of all texts (column text); it has max_nodes entries, and 256 of order 0, at most."""
-    top = saved(gram_counts(texts, order), "grams")
-    cells = [F.struct(F.lit(k).cast("long").alias("k"), (F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))).alias("g")) for k in range(order + 1)]
-    levels = top.select(F.explode(F.array(*cells)).alias("x"), "n").groupBy(F.col("x.k").alias("k"), F.col("x.g").alias("g")).agg(F.sum("n").alias("n"))
-    levels = saved(levels, "levels")
-    few = levels.where((F.col("k") == 0) | (F.col("n") >= frequent(levels.where("k > 0"), max_nodes)))
+def asked(rows: DataFrame, order: int) -> DataFrame:
+    """chunk, gram: the distinct grams of the texts (column _text) of each chunk."""
+
+    def run(key, table):
+        import pyarrow as pa
+
+        parts, held = [], 0
+        for _, _, code, _ in runs([prepared(normal(t)) for t in table.column("_text").to_pylist()], order):
+            parts.append(np.unique(code))
+            held += len(parts[-1])
+            if held > 4 * BLOCK:
+                parts = [np.unique(np.concatenate(parts))]
+                held = len(parts[0])
+        grams = np.unique(np.concatenate(parts))
+        return pa.table({"chunk": pa.array(np.full(len(grams), key[0].as_py(), np.int64)), "gram": pa.array(grams.view(np.int64))})
+
+    return rows.select("_chunk", "_text").groupBy("_chunk").applyInArrow(run, "chunk long, gram long")
 
-    def build(batches: Iterator) -> Iterator:
-        from tokenlake.llm.ppm import Trie
 
-        parts = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches]
-        k, g, n = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(3))
-        keys = g.view(np.uint64) | (k.astype(np.uint64) << np.uint64(56))
-        sort = np.argsort(keys)
-        yield from Trie.build(order, keys[sort], n[sort]).batches()
+_lowest: dict[str, list[np.ndarray]] = {}
 
-    # one task, whose input is bounded by max_nodes
-    return written(few.select("k", "g", "n").repartition(1).mapInArrow(build, TRIE), "trie")
 
+def _low(path: str) -> list[np.ndarray]:
+    """The entries of orders 0 and 1, read once by this worker."""
+    if path not in _lowest:
+        _lowest.clear()
+        _lowest[path] = read_columns(path, "k", "g", "n")
+    return _lowest[path]
 
-def load(path: str, order: int) -> Trie:
-    """The trie of a folder, ready to score; each worker reads it itself."""
-    kind, key, a, b, c = read_columns(path, "kind", "key", "a", "b", "c")
-    e, x = kind == 0, kind == 1
-    return Trie(order, Table(key[e].view(np.uint64)), Table(key[x].view(np.uint64)), a[e], b[e], a[x], b[x], c[x], float(a[kind == 2][0]))
+
+def lengths(grams: DataFrame, top: DataFrame, order: int) -> DataFrame:
+    """gram, log10 of its last byte's probability, of every row of grams, under the whole trie of top (gram, n)."""
+    cells = [F.struct(F.lit(k).cast("long").alias("k"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("g")) for k in range(min(order, 1) + 1)]
+    low = top.select(F.explode(F.array(*cells)).alias("x"), "n").groupBy(F.col("x.k").alias("k"), F.col("x.g").alias("g")).agg(F.sum("n").alias("n"))
+    lowest = written(low.repartition(1), "low")
+    end = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFF))
+
+    def run(key, seen, want):
+        import pyarrow as pa
+
+        from tokenlake.llm import ppm
+
+        k, g, n = ppm._low(lowest)
+        mine = (k == 0) | (g >> 8 == key[0].as_py() & 0xFF)
+        keys, counts = [g[mine].view(np.uint64) | (k[mine].astype(np.uint64) << np.uint64(56))], [n[mine]]
+        sort = np.argsort(keys[0])
+        keys, counts = [keys[0][sort]], [counts[0][sort]]
+        own, many = seen.column("gram").to_numpy().view(np.uint64), seen.column("n").to_numpy()
+        for o in range(2, order + 1):
+            values, inverse = np.unique(tagged(own, o), return_inverse=True)
+            keys.append(values)
+            counts.append(np.bincount(inverse, weights=many, minlength=len(values)).astype(np.int64))
+        asked_for = want.column("gram").to_numpy()
+        if not len(asked_for):
+            return pa.table({"gram": pa.array([], pa.int64()), "log": pa.array([], pa.float64())})
+        trie = Trie.build(order, np.concatenate(keys), np.concatenate(counts))
+        return pa.table({"gram": pa.array(asked_for), "log": pa.array(trie.log10s(asked_for.view(np.uint64)))})
+
+    return top.withColumn("_end", end).groupBy("_end").cogroup(grams.withColumn("_end", end).groupBy("_end")).applyInArrow(run, "gram long, log double")
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -294,18 +336,18 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").transform(small_batches).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-_models: dict[str, tuple[Trie, dict[bytes, float]]] = {}
+_commons: dict[str, dict[bytes, float]] = {}
 
 
-def _model(trie: str, words: str, order: int) -> tuple[Trie, dict[bytes, float]]:
-    """This worker's tables and the logs of the common words, read once."""
-    if trie not in _models:
-        _models.clear()
-        _models[trie] = load(trie, order), dict(zip(*read_columns(words, "word", "log"), strict=True))
-    return _models[trie]
+def _common(path: str) -> dict[bytes, float]:
+    """The logs of the common words, read once by this worker."""
+    if path not in _commons:
+        _commons.clear()
+        _commons[path] = dict(zip(*read_columns(path, "word", "log"), strict=True))
+    return _commons[path]
 
 
-def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: int = 200_000, order: int = 5, max_nodes: int = 3_000_000) -> DataFrame:
+def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: int = 200_000, order: int = 5) -> DataFrame:
     """Columns `keep` of docs with n_tokens, n_known, train_tokens, base_score and score; training: a condition on docs."""
     keep = ["doc_id"] if keep is None else keep
     texts = docs.where(training).select("text")
@@ -317,61 +359,50 @@ def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: in
     log = lambda c: F.log10((c + F.lit(0.1)) / F.lit(float(base)))
     common = written(known.where(F.col("n") >= frequent(known, heavy)).select("word", log(F.col("n")).alias("log")).repartition(1), "common")
     rare = words.where(F.col("word").isNotNull()).select(F.col("word").alias("w"), F.col("n").alias("c"))
-    model = train(texts, order=order, max_nodes=max_nodes)
+    rows = docs.select(F.col("text").alias("_text"), *keep)
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64("_text", *keep), F.lit(size // CHUNK + 1)))
+    top = saved(gram_counts(texts, order), "grams")
+    wanted = saved(asked(small_batches(rows), order), "asked")
+    logs = saved(lengths(wanted.select("gram").distinct(), top, order), "lengths")
+    priced = wanted.join(logs.hint("merge"), "gram")
 
-    def run(batches: Iterator) -> Iterator:
+    def run(key, table, found):
         import pyarrow as pa
 
         from tokenlake.llm import ppm
 
-        trie, logs = ppm._model(model, common, order)
+        known_logs = ppm._common(common)
         end = np.log10((ends + 0.1) / base)
-        for batch in batches:
-            whole = batch.column(0).to_pylist()
-            for at in range(0, len(whole), 512):
-                texts, known, part, tokens, rare_words, rare_counts, ends_at = [], [], [], [], [], [], [0]
-                for text in whole[at : at + 512]:
-                    own = normal(text)
-                    tokens.append(len(own) + 1)
-                    texts.append(prepared(own))
-                    many = Counter(own)
-                    found = [(n, logs[w]) for w, n in many.items() if w in logs]
-                    known.append(sum(n for n, _ in found) + (ends > 0))
-                    part.append(sum(n * x for n, x in found) + end)
-                    rare_words += [w for w in many if w not in logs]
-                    rare_counts += [n for w, n in many.items() if w not in logs]
-                    ends_at.append(len(rare_words))
-                scores, i = [], 0
-                while i < len(texts):
-                    j, size = i, 0
-                    while j < len(texts) and (j == i or size + len(texts[j]) <= BLOCK):
-                        size += len(texts[j])
-                        j += 1
-                    if size <= 4 * BLOCK:
-                        got, starts = codes(texts[i:j], order)
-                        scores += np.add.reduceat(trie.log10s(got), starts).tolist()
-                    else:  # one very long text, in blocks
-                        long, sum_ = END * order + texts[i], 0.0
-                        for b in range(order, len(long), BLOCK):
-                            flat = long[b - order : b + BLOCK]
-                            c = np.zeros(len(flat) - order, dtype=np.uint64)
-                            for s in range(order + 1):
-                                c = (c << np.uint64(8)) | np.frombuffer(flat, dtype=np.uint8)[s : s + len(c)]
-                            sum_ += float(trie.log10s(c).sum())
-                        scores.append(sum_)
-                    i = j
-                rest = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["w", "n"])
-                rest = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), rest)
-                cols = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(part, pa.float64()), pa.array(scores, pa.float64()), rest]
-                own = [c.slice(at, 512) for c in batch.columns[1:]]
-                yield pa.RecordBatch.from_arrays([*own, *cols], [*batch.schema.names[1:], "n_tokens", "known", "part", "score", "rest"])
+        grams, values = found.column("gram").to_numpy().view(np.uint64), found.column("log").to_numpy()
+        sort = np.argsort(grams)
+        grams, values = grams[sort], values[sort]
+        texts, known, part, tokens, rare_words, rare_counts, ends_at = [], [], [], [], [], [], [0]
+        for text in table.column("_text").to_pylist():
+            own = normal(text)
+            tokens.append(len(own) + 1)
+            texts.append(prepared(own))
+            many = Counter(own)
+            hit = [(n, known_logs[w]) for w, n in many.items() if w in known_logs]
+            known.append(sum(n for n, _ in hit) + (ends > 0))
+            part.append(sum(n * x for n, x in hit) + end)
+            rare_words += [w for w in many if w not in known_logs]
+            rare_counts += [n for w, n in many.items() if w not in known_logs]
+            ends_at.append(len(rare_words))
+        scores = np.zeros(len(texts))
+        for i, j, code, starts in runs(texts, order):
+            scores[i:j] += np.add.reduceat(values[np.searchsorted(grams, code)], starts)
+        rest = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["w", "n"])
+        rest = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), rest)
+        cols = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(part, pa.float64()), pa.array(scores), rest]
+        own = [table.column(c) for c in keep]
+        return pa.table([*own, *cols], names=[*keep, "n_tokens", "known", "part", "score", "rest"])
 
     from pyspark.sql import types as T
 
-    rows = docs.select(F.col("text").alias("_text"), *keep)
     extra = T._parse_datatype_string("n_tokens long, known long, part double, score double, rest array<struct<w: binary, n: long>>").fields
-    first = small_batches(rows).mapInArrow(run, T.StructType([*rows.schema.fields[1:], *extra])).withColumn("_row", F.monotonically_increasing_id())
-    first = saved(first, "scored")
+    scored = rows.groupBy("_chunk").cogroup(priced.groupBy("chunk")).applyInArrow(run, T.StructType([*rows.select(*keep).schema.fields, *extra]))
+    first = saved(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
     left = first.select("_row", F.explode("rest").alias("x")).select("_row", "x.w", "x.n")
     met = left.join(rare, "w", "left")
     c = F.coalesce("c", F.lit(0))
