@@ -123,6 +123,44 @@ def test_thresholds_control_the_risk(spark):
     assert all(got[i] == (i % 10 != 0 or i % 100 == 0) for i in range(6000))
 
 
+def test_few_labels_are_enough_for_one_rule(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(4 * 340):
+        bad = i % 340 >= 310
+        words = [f"w{rng.randrange(10**6)}" + ("$$$" if bad else "") for _ in range(15)]
+        rows.append((i, " ".join(words), f"l{i // 340}"))
+        labels.append((i, 0 if bad else 1))
+    labels += [(5000 + i, 1) for i in range(20)]
+    rows += [(5000 + i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(15)), "rare") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = quality.measured(docs, ["doc_id", "lang"])
+    cuts = quality.thresholds(counts, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert all(r.kept == (r.doc_id >= 5000 or r.doc_id % 340 < 310) for r in quality.judged(counts, cuts).collect())
+    assert {r.stratum for r in cuts.collect()} == {f"l{i}" for i in range(4)}
+
+
+def test_a_rule_that_catches_nothing_more_is_not_chosen():
+    levels = np.zeros((4, 3), dtype=int)
+    levels[0], levels[1] = [0, 8, 0], [0, 8, 8]  # cells: good, bad, a few good
+    assert quality.chosen(levels, np.array([4000, 0, 5]), np.array([0, 100, 0]), 0.02, 0.05) == {"symbols": 0.3}
+
+
+def test_strata_that_share_delta_are_those_tested():
+    assert quality.shares(Counter(), 0.02, 0.05) == (0, None)
+    first = quality.needed(0.05 / 3 / 2, 0.02)
+    assert quality.shares(Counter({2000: 1, 400: 2, first: 1}), 0.02, 0.05) == (3, 400)
+
+
+def test_chosen_rules_share_the_risk():
+    rng, wrong, runs = np.random.default_rng(3), 0, 300
+    for _ in range(runs):  # each rule rejects 1.2 % of the good at its mildest cutoff, and independently: two exceed 2 %
+        levels = np.concatenate([(rng.random((4, 4000)) < 0.012) * 8, (rng.random((4, 300)) < 0.5) * 8], axis=1)
+        good = np.r_[np.ones(4000, int), np.zeros(300, int)]
+        wrong += len(quality.chosen(levels, good, 1 - good, 0.02, 0.05)) > 1
+    assert wrong <= 0.05 * runs
+
+
 def test_judged_cases(spark, docs):
     counts = quality.measured(docs, ["doc_id", "lang"])
     none = quality.thresholds(counts, spark.createDataFrame([], "doc_id long, quality int"))

@@ -1,13 +1,18 @@
 """Quality rules whose cutoffs are chosen under a proven limit on false rejections.
 
-Each rule has a value per document (larger is worse) and a fixed grid of cutoffs. In each stratum, among labelled
-good documents that pass the base rules, the share that a cutoff would reject gets an exact (Clopper-Pearson) upper
-confidence bound, at a level corrected by Bonferroni for every rule, stratum and cutoff tried. A cutoff is eligible
-if its bound is at most the rule's share of the allowed risk; of the eligible cutoffs the one that rejects most
-labelled bad documents is taken (the mildest such), and none if it rejects no more of the bad than of the good.
+Each rule has a value per document (larger is worse) and a fixed grid of cutoffs. In each stratum, the share of labelled
+good documents that pass the base rules which a set of cutoffs would reject gets an exact (Clopper-Pearson) upper
+confidence bound, which must be at most the allowed risk for all chosen rules together. The order of what is tried comes
+from the labelled bad documents alone, never from the good ones that the bounds are of: rules go by the most bad
+documents that any of their cutoffs rejects, and of a rule only cutoffs that reject more bad ones than the milder do.
+A rule's cutoffs, with those chosen before, are tested in fixed sequence from the mildest until one fails, so that all of
+them share one level. The first rule has half of a stratum's level; a later one has an equal part of the other half, over
+the number of choices that the rules before it may have left. A rule whose cutoff rejects no more of the bad than of the
+good is not taken, nor one without which the others reject the same bad ones. The strata share delta; those with too few good labels for the first test of all are not tested, and
+take no part in it.
 
 So, with confidence 1 - delta, at most `risk` of good documents are rejected in every stratum at once. Where labels
-are too few for that promise, the rule is silent there.
+are too few for that promise, rules are silent there.
 
 Cases: a null text has no word; labels of documents that are absent, null labels and repeated labels of one document
 (the worst counts) are handled; a null stratum is a stratum; an empty table gives no row; other columns stay.
@@ -19,6 +24,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +108,51 @@ def at_risk(n: int, level: float, risk: float) -> int:
     return low
 
 
+def needed(level: float, risk: float) -> int:
+    """The fewest good documents of which none is lost whose bound at this level is at most risk."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
+
+
+def shares(sizes: Counter, risk: float, delta: float) -> tuple[int, int | None]:
+    """(strata that share delta, the fewest good documents of any of them), from numbers of strata by good documents."""
+    parts, least = 0, None
+    for n in sorted(sizes, reverse=True):
+        if n < needed(delta / (parts + sizes[n]) / 2, risk):
+            break
+        parts, least = parts + sizes[n], n
+    return parts, least
+
+
+def chosen(levels: np.ndarray, good: np.ndarray, bad: np.ndarray, risk: float, delta: float) -> dict[str, float]:
+    """Rule to cutoff of one stratum; levels: for each rule (row) and cell the cutoffs that the value is above."""
+    rules, n, n_bad = list(RULES), int(good.sum()), int(bad.sum())
+    caught = lambda r, i: int(bad[levels[r] > i].sum())
+    order = sorted(range(len(rules)), key=lambda r: (-caught(r, 0), r))
+    rejected, out, states = np.zeros(len(good), dtype=bool), {}, 1
+    for place, r in enumerate(order):
+        steps, most = [], 0
+        for i in reversed(range(len(RULES[rules[r]][1]))):  # the mildest first
+            if caught(r, i) > most:
+                steps.append(i)
+                most = caught(r, i)
+        allowed = at_risk(n, delta / 2 if place == 0 else delta / 2 / (len(order) - 1) / states, risk) if n else -1
+        best = None
+        for i in steps:
+            if good[rejected | (levels[r] > i)].sum() > allowed:
+                break
+            if caught(r, i) * n > int(good[levels[r] > i].sum()) * n_bad:
+                best = i
+        if best is not None:
+            rejected |= levels[r] > best
+            out[rules[r]] = RULES[rules[r]][1][best]
+        states *= len(steps) + 1
+    over = {k: levels[rules.index(k)] > RULES[k][1].index(c) for k, c in out.items()}
+    for k in sorted(over, key=lambda k: (-int(good[over[k]].sum()), k)):  # fewer rules never lose more
+        if not bad[over[k] & ~np.any([x for o, x in over.items() if o != k], axis=0)].sum():
+            del over[k]
+    return {k: out[k] for k in over}
+
+
 def thresholds(counts: DataFrame, labels: DataFrame, stratum: str = "lang", *, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """stratum, cuts (map of rule to cutoff; a rule that is silent is absent), from all labelled rows.
 
@@ -109,38 +160,25 @@ def thresholds(counts: DataFrame, labels: DataFrame, stratum: str = "lang", *, r
     """
     worst = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("good"))
     own = counts.where(~F.col("base_failed")).select("doc_id", F.col(stratum).alias("stratum"), *BASE, "n_lines").join(worst, "doc_id")
-    cells = []
-    for rule, (value, cuts) in RULES.items():
-        above = F.expr(f"size(filter(array({', '.join(f'{c}D' for c in cuts)}), c -> double({value}) > c))")
-        cells.append(F.struct(F.lit(rule).alias("rule"), above.alias("level")))
-    hist = own.select("stratum", "good", F.explode(F.array(*cells)).alias("x")).groupBy("stratum", "x.rule", "x.level")
-    hist = hist.agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") == 0).alias("bad"))
+    above = [F.expr(f"size(filter(array({', '.join(f'{c}D' for c in cuts)}), c -> double({value}) > c))").alias(rule) for rule, (value, cuts) in RULES.items()]
+    hist = own.select("stratum", "good", *above).groupBy("stratum", *RULES)
+    hist = hist.agg(F.count_if(F.col("good") == 1).alias("n_good"), F.count_if(F.col("good") == 0).alias("n_bad"))
     hist = saved(hist, "quality")
-    strata = hist.select("stratum").distinct().count()
-    tests = max(1, strata) * sum(len(c) for _, c in RULES.values())
-    level, share = delta / tests, risk / len(RULES)
+    sizes = hist.groupBy("stratum").agg(F.sum("n_good").alias("n")).groupBy("n").agg(F.count("*").alias("strata")).where(F.col("n") >= needed(delta / 2, risk)).collect()
+    parts, least = shares(Counter({r.n: r.strata for r in sizes}), risk, delta)
 
     def choose(key, table):
         import pyarrow as pa
 
-        cuts = RULES[key[1].as_py()][1]
-        good, bad = Counter(), Counter()
-        for x, g, b in zip(*(table.column(c).to_pylist() for c in ("level", "good", "bad")), strict=True):
-            good[x] += g
-            bad[x] += b
-        n, n_bad = sum(good.values()), sum(bad.values())
-        best, most = None, 0
-        allowed = at_risk(n, level, share) if n else -1
-        for i in reversed(range(len(cuts))):  # the mildest first
-            lost, caught = sum(v for x, v in good.items() if x > i), sum(v for x, v in bad.items() if x > i)
-            if lost <= allowed and caught > most and caught * n > lost * n_bad:
-                best, most = cuts[i], caught
-        first = table.slice(0, 1).select(["stratum", "rule"]) if best is not None else table.slice(0, 0).select(["stratum", "rule"])
-        return first.append_column("cut", pa.array([best] * len(first), pa.float64())).append_column("n_good", pa.array([n] * len(first), pa.int64()))
-
-    schema = T.StructType([T.StructField("stratum", counts.schema[stratum].dataType), *T._parse_datatype_string("rule string, cut double, n_good long").fields])
-    chosen = hist.groupBy("stratum", "rule").applyInArrow(choose, schema)
-    return chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cuts"))  # at most a row per rule
+        levels = np.array([table.column(r).to_numpy() for r in RULES])
+        good, bad = table.column("n_good").to_numpy(), table.column("n_bad").to_numpy()
+        cuts = chosen(levels, good, bad, risk, delta / parts) if parts and good.sum() >= least else {}
+        first = pa.concat_tables([table.slice(0, 1).select(["stratum"])] * len(cuts)) if cuts else table.slice(0, 0).select(["stratum"])
+        return first.append_column("rule", pa.array(list(cuts), pa.string())).append_column("cut", pa.array(list(cuts.values()), pa.float64()))
+
+    schema = T.StructType([T.StructField("stratum", counts.schema[stratum].dataType), *T._parse_datatype_string("rule string, cut double").fields])
+    taken = hist.groupBy("stratum").applyInArrow(choose, schema)
+    return taken.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cuts"))  # at most a row per rule
 
 
 def judged(counts: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
