@@ -41,7 +41,7 @@ EMPTY = np.uint64((1 << 64) - 1)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 20
 #: Bytes of text that are scored together, about.
-CHUNK = 8 << 20
+CHUNK = 32 << 20
 
 
 def normal(text: str | None) -> list[bytes]:
@@ -365,7 +365,7 @@ def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: in
     top = saved(gram_counts(texts, order), "grams")
     wanted = saved(asked(small_batches(rows), order), "asked")
     logs = saved(lengths(wanted.select("gram").distinct(), top, order), "lengths")
-    priced = wanted.join(logs.hint("merge"), "gram")
+    met = wanted.join(logs.hint("merge"), "gram")
 
     def run(key, table, found):
         import pyarrow as pa
@@ -375,8 +375,9 @@ def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: in
         known_logs = ppm._common(common)
         end = np.log10((ends + 0.1) / base)
         grams, values = found.column("gram").to_numpy().view(np.uint64), found.column("log").to_numpy()
-        sort = np.argsort(grams)
-        grams, values = grams[sort], values[sort]
+        hashed = Table.hash(grams)
+        sort = np.argsort(hashed)
+        priced, values = Table(hashed[sort]), values[sort]
         texts, known, part, tokens, rare_words, rare_counts, ends_at = [], [], [], [], [], [], [0]
         for text in table.column("_text").to_pylist():
             own = normal(text)
@@ -391,7 +392,7 @@ def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: in
             ends_at.append(len(rare_words))
         scores = np.zeros(len(texts))
         for i, j, code, starts in runs(texts, order):
-            scores[i:j] += np.add.reduceat(values[np.searchsorted(grams, code)], starts)
+            scores[i:j] += np.add.reduceat(values[priced.find(code)], starts)
         rest = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["w", "n"])
         rest = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), rest)
         cols = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(part, pa.float64()), pa.array(scores), rest]
@@ -401,11 +402,11 @@ def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: in
     from pyspark.sql import types as T
 
     extra = T._parse_datatype_string("n_tokens long, known long, part double, score double, rest array<struct<w: binary, n: long>>").fields
-    scored = rows.groupBy("_chunk").cogroup(priced.groupBy("chunk")).applyInArrow(run, T.StructType([*rows.select(*keep).schema.fields, *extra]))
+    scored = rows.groupBy("_chunk").cogroup(met.groupBy("chunk")).applyInArrow(run, T.StructType([*rows.select(*keep).schema.fields, *extra]))
     first = saved(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
     left = first.select("_row", F.explode("rest").alias("x")).select("_row", "x.w", "x.n")
-    met = left.join(rare, "w", "left")
+    heard = left.join(rare, "w", "left")
     c = F.coalesce("c", F.lit(0))
-    sums = met.groupBy("_row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * log(c)).alias("sum"))
+    sums = heard.groupBy("_row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * log(c)).alias("sum"))
     out = first.drop("rest").join(sums, "_row", "left")
     return out.select(*keep, "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("part") + F.coalesce("sum", F.lit(0.0))).alias("base_score"), "score")
