@@ -17,12 +17,15 @@ TEXTS = ["Hello there, world!", None, "", "  two  spaces\n\nand lines \t\r\n x",
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_encoder_equals_the_library(path):
-    enc = Encoder(path)
+    from tokenizers import Tokenizer
+
+    enc, library = Encoder(path), Tokenizer.from_file(path)
     rng = random.Random(5)
     alphabet = "aZéßªº²½_'’.,!$ \n\t 09日ĠĊİ"
     texts = [t for t in TEXTS if t] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts += ["a <|endoftext|> b", "<|ENDOFTEXT|>", "<|startoftext|><|endoftext|>", "x<|endoftext", "|endoftext|>" * 3]
     for t in texts:
-        assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == enc.whole.encode(t, add_special_tokens=False).ids, repr(t)
+        assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_encoder_cache_is_bounded(monkeypatch):
@@ -123,6 +126,19 @@ def test_local_search_beats_best_fit():
         assert -(-sum(lengths) // 40) <= len(bins) <= len(packing.best_fit(lengths, 40))
 
 
+def test_local_search_solves_perfect_triples():
+    solved = 0
+    for seed in range(40):
+        rng, lengths = random.Random(seed), []
+        for _ in range(15):
+            a, b = rng.randint(8, 18), rng.randint(8, 18)
+            lengths += [a, b, 40 - a - b]
+        rng.shuffle(lengths)
+        assert len(packing.best_fit(lengths, 40)) > 15
+        solved += len(packing.pack(lengths, 40)) == 15
+    assert solved > 25
+
+
 def test_improve_empties_bins():
     lengths = [7, 3, 6, 4, 5, 5]
     worst = [[i] for i in range(6)]
