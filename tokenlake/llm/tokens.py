@@ -2,7 +2,8 @@
 
 Almost all words of a corpus recur, so the byte-pair merges of a piece of text between white spaces are looked up
 in a bounded cache; only new pieces reach the model. A text with characters outside a safe range (where
-normalisation or Unicode tables could matter) is encoded whole by the library, so ids are the library's own always.
+normalisation or Unicode tables could matter), or with an added token such as `<|endoftext|>` in it, is encoded whole by
+the library as delivered, so ids are the library's own always.
 """
 
 from __future__ import annotations
@@ -45,14 +46,16 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
+        added = spec.get("added_tokens") or []
+        self.added = [t["content"] for t in added]
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         names = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         pre = spec.get("pre_tokenizer") or {}
         self.lower = names == ["NFC", "Replace", "Lowercase"] and pre.get("type") == "Sequence"
         self.fast = spec["model"]["type"] == "BPE" and (self.lower or spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre.get("add_prefix_space"))
+        self.folded = [t["content"].lower() for t in added if t.get("normalized") and self.lower]
         self.letters = byte_letters()
         self.latin = {b: c for b, c in self.letters.items() if chr(b) != c}
         self.ends = {c: self.piece(c) for c in ".,"}
@@ -104,10 +107,14 @@ class Encoder:
             self.new[text] = got
         return got
 
+    def special(self, text: str) -> bool:
+        """Whether the text may hold an added token, which the library finds before anything else."""
+        return any(map(text.__contains__, self.added)) or any(t in text.lower() for t in self.folded)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.fast or UNSAFE.search(text):
+        if not self.fast or UNSAFE.search(text) or self.special(text):
             return self.pack(self.whole.encode(text, add_special_tokens=False).ids)
         if self.lower:
             chunks = text.lower().split()
