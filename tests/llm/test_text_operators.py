@@ -384,3 +384,32 @@ def test_wrapped_notices_are_found(spark):
 def test_cues_of_several_words_in_long_lines(spark):
     text = "copyright " + "x " * 200 + "All rights reserved. " + "y " * 200 + licenses.TEMPLATES["MIT-permission"]
     assert license_names(spark, [text, text.replace(" All", "\nAll")]) == [[None, "All-rights-reserved", "MIT-permission"]] * 2
+
+
+def test_whole_license_texts_and_their_differences(spark):
+    every = licenses.TEMPLATES | licenses.TEXTS
+    mit = every["MIT-text"].replace("without limitation", "with limitation").replace("sublicense, ", "")
+    rows = [(2, every["ISC-text"]), (3, every["BSD-2-Clause-text"] + " x " * 400 + every["BSD-3-Clause-text"])]
+    rows.append((4, mit.replace(". ", ".\n\n")))
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), every).collect():
+        got.setdefault(r.doc_id, []).append((r.block_start, r.license, r.n_differences, r.changes))
+    assert [g[1:3] for g in sorted(got[2])] == [("ISC-text", 0)]
+    assert [g[1:3] for g in sorted(got[3])] == [("BSD-2-Clause-text", 0), ("BSD-3-Clause-text", 0)]
+    assert [g[1:] for g in sorted(got[4])][0] == ("MIT-permission", 0, []) or sorted(got[4])[0][3] == ["-without+with", "-sublicense"]
+
+
+def test_changes_are_the_fewest_edits():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 8))] for _ in range(2))
+        said = licenses.changes(a, b)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        assert len(said) == row[-1]
+        gone = Counter(x[1:].split("+")[0] for x in said if x[0] == "-")
+        new = Counter(x.split("+")[1] for x in said if "+" in x)
+        assert Counter(a) - gone + new == Counter(b)

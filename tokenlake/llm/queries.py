@@ -77,7 +77,7 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).drop("block")
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.TEMPLATES | licenses.TEXTS).drop("block")
 
 
 #: Target marginals of the query: shares in proportion to a power of the observed tokens.
