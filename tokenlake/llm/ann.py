@@ -14,7 +14,7 @@ size of the table, and gives each query its best k there; the best of all blocks
 
 Cases: vectors that are null, zero, of another length than most, or hold a null or non-finite component take no part;
 ties go to the smaller vec_id; a query's own vec_id is no candidate; a null vec_id takes no part; rows that share a
-vec_id are candidates each; with fewer than k candidates all are returned; an empty table gives no row.
+vec_id are candidates each, and queries each (with their own ranks) unless their vectors are equal, which makes them one; with fewer than k candidates all are returned; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ class CollisionIndex:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: float, *, projections: int = 40, seed: int = 7):
         self.ids, self.vectors = ids, vectors
-        unit = vectors / largest
+        unit = vectors / largest  # so that squares cannot overflow
         rest = np.sqrt(np.maximum(0.0, 1 - (unit * unit).sum(axis=1)))
         rng = np.random.default_rng(seed)
         self.lines = rng.standard_normal((projections, vectors.shape[1] + 1))
@@ -38,22 +38,24 @@ class CollisionIndex:
         self.order = np.argsort(at, axis=0, kind="stable").T.astype(np.int32).copy()
         self.sorted = np.take_along_axis(at.T, self.order, axis=1)
         self.largest = largest
-        self.single = vectors.astype(np.float32)
+        self.single = unit.astype(np.float32)
 
-    def first_radii(self, queries: np.ndarray, norms: np.ndarray, own: np.ndarray, sample: int) -> np.ndarray:
+    def first_radii(self, directions: np.ndarray, own: np.ndarray, sample: int) -> np.ndarray:
         """Where each query's windows start: the distance of the nearest in a sample of the block."""
         some = np.random.default_rng(1).permutation(len(self.ids))[:sample]
-        scores = queries @ self.vectors[some].T
-        scores[own[:, None] == self.ids[some][None, :]] = -np.inf
-        best = scores.max(axis=1, initial=-self.largest)
-        return np.sqrt(np.maximum(2 - 2 * np.maximum(best / (norms * self.largest), -1), 1e-6))
+        scores = directions @ (self.vectors[some] / self.largest).T
+        scores[own[:, None] == self.ids[some][None, :]] = -1
+        best = scores.max(axis=1, initial=-1)
+        return np.sqrt(np.maximum(2 - 2 * best, 1e-6))
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, *, share: float = 0.75, half: float = 1.5, widen: float = 1.2, sample: int = 256):
         """For each query (ids, scores) of the best k found. half: a window's half-width in radii; share: the threshold."""
         n, m = len(self.ids), len(self.lines)
-        norms = np.sqrt((queries * queries).sum(axis=1))
-        centre = (queries / norms[:, None]) @ self.lines[:, :-1].T
-        radii = self.first_radii(queries, norms, own, sample)
+        peaks = np.abs(queries).max(axis=1)
+        norms = peaks * np.sqrt(((queries / peaks[:, None]) ** 2).sum(axis=1))
+        directions = queries / norms[:, None]
+        centre = directions @ self.lines[:, :-1].T
+        radii = self.first_radii(directions, own, sample)
         least = int(np.ceil(share * m))
         reach = half * radii
         low = np.stack([np.searchsorted(self.sorted[p], centre[:, p] - reach) for p in range(m)])
@@ -75,9 +77,9 @@ class CollisionIndex:
                 new = np.flatnonzero((counts >= least - base) & ~seen) if radius < np.inf else np.flatnonzero(~seen)
                 if len(new):
                     seen[new] = True
-                    got_at, got = self.verified(query, norms[q], new, got_at, got, k)
+                    got_at, got = self.verified(query, directions[q], new, got_at, got, k)
                 # squared distance of the transformed points: 2 - 2 q.x / (|q| M)
-                if radius == np.inf or len(got) >= k and 2 - 2 * got[k - 1] / (norms[q] * self.largest) <= radius * radius:
+                if radius == np.inf or len(got) >= k and 2 - 2 * (got[k - 1] / norms[q] / self.largest) <= radius * radius:
                     break
                 if radius > 2:
                     radius = np.inf
@@ -91,11 +93,13 @@ class CollisionIndex:
                     a[p], b[p] = c, d
             yield self.ids[got_at], got
 
-    def verified(self, query: np.ndarray, norm: float, new: np.ndarray, got_at: np.ndarray, got: np.ndarray, k: int):
-        """The best k of those got and the new ones: single precision leaves out what cannot be among them."""
+    def verified(self, query: np.ndarray, direction: np.ndarray, new: np.ndarray, got_at: np.ndarray, got: np.ndarray, k: int):
+        """The best k of those got and the new ones: single precision, on vectors scaled to at most length 1, leaves out
+        what cannot be among them (its error is below 2^-24 times the square root of a length, and a rounding a term).
+        """
         if len(new) > k:
-            rough = self.single[new] @ query.astype(np.float32)
-            slack = 1e-4 * norm * self.largest
+            rough = self.single[new] @ direction.astype(np.float32)
+            slack = max(1e-4, 1e-6 * len(direction))
             new = new[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack]
         scores = (self.vectors[new] * query).sum(axis=1)
         at, scores = np.r_[got_at, new], np.r_[got, scores]
@@ -115,14 +119,15 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 def search(vectors: DataFrame, is_query: Column, k: int = 20, *, column: str = "embedding", block: int = 16384, chunk: int = 8192, projections: int = 40) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest. is_query: a condition on vec_id."""
     rows = usable(vectors, column)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    peak = F.array_max(F.transform("v", F.abs))
+    norm = peak * F.sqrt(F.aggregate(F.transform("v", lambda x: x / peak), F.lit(0.0), lambda s, x: s + x * x))
     n, asked, largest = rows.agg(F.count("*"), F.count_if(is_query), F.max(norm)).first()
     blocks, chunks = max(1, -(-n // block)), max(1, -(-(asked or 0) // chunk))
     limit = (largest or 1.0) * (1 + 1e-12)
     part = lambda count, salt: F.pmod(F.xxhash64("vec_id", "v", F.lit(salt)), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     base = rows.select(part(blocks, 1).alias("block"), every(chunks).alias("chunk"), "vec_id", "v")
-    asks = rows.where(is_query).select(every(blocks).alias("block"), part(chunks, 2).alias("chunk"), "vec_id", "v")
+    asks = rows.where(is_query).dropDuplicates(["vec_id", "v"]).select(every(blocks).alias("block"), part(chunks, 2).alias("chunk"), "vec_id", "v", F.xxhash64("v").alias("mark"))
 
     def matrix(column) -> np.ndarray:
         flat = column.combine_chunks()
@@ -133,19 +138,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, *, column: str = "
 
         from tokenlake.llm.ann import CollisionIndex
 
-        names = ["query_id", "vec_id", "score"]
+        names = ["query_id", "mark", "vec_id", "score"]
         if not len(left) or not len(right):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
+            return pa.table([*[pa.array([], pa.int64())] * 3, pa.array([], pa.float64())], names)
         index = CollisionIndex(left.column("vec_id").to_numpy(), matrix(left.column("v")), limit, projections=projections)
-        own = right.column("vec_id").to_numpy()
+        own, marks = right.column("vec_id").to_numpy(), right.column("mark").to_numpy()
         found = list(index.search(matrix(right.column("v")), own, k))
         sizes = [len(ids) for ids, _ in found]
-        return pa.table([pa.array(np.repeat(own, sizes)), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names)
+        return pa.table([pa.array(np.repeat(own, sizes)), pa.array(np.repeat(marks, sizes)), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names)
 
-    schema = T._parse_datatype_string("query_id long, vec_id long, score double")
+    schema = T._parse_datatype_string("query_id long, mark long, vec_id long, score double")
     best = base.groupBy("block", "chunk").cogroup(asks.groupBy("block", "chunk")).applyInArrow(find, schema)
     from pyspark.sql import Window
 
     # at most k rows of a block for each row of a query
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
