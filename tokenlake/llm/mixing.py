@@ -5,7 +5,7 @@ values) before anything is shuffled; raking works on the cells alone: each sweep
 one dimension's target shares after the other. A document's probability of being kept is the scaled weight of its
 cell over the cell's tokens, calibrated so that the expected tokens are the budget; where a cell would need more than
 all it has, it is kept whole and the rest of the budget is spread over the other cells in proportion, again and again
-for a fixed number of rounds. The draw is a hash of the id, so it does not change from run to run.
+until no further cell is. The draw is a hash of the id, so it does not change from run to run.
 
 Targets: a dict of dimension to {value: share}, or to a power (a float): shares in proportion to the observed tokens
 to that power (1: as they are, 0: uniform). Values without a target, or with target 0, get no weight.
@@ -43,7 +43,7 @@ def draw(doc_id: Column, seed: int = 42) -> Column:
 
 
 def share_table(cells: DataFrame, dim: str, target: dict | float) -> DataFrame:
-    """A row per value of a dimension with its target share."""
+    """A row per value of a dimension with its target share: v, goal."""
     if isinstance(target, dict):
         rows = [(None if k is None else str(k), float(v)) for k, v in target.items()]
         got = cells.sparkSession.createDataFrame(rows, "v string, goal double").groupBy("v").agg(F.sum("goal").alias("goal"))
@@ -55,36 +55,61 @@ def share_table(cells: DataFrame, dim: str, target: dict | float) -> DataFrame:
     return got.select("v", (F.col("goal") / F.lit(whole or 1.0)).alias("goal"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict | float], sweeps: int = 6) -> DataFrame:
-    """cells (the dimensions, t: tokens) with w: raked weights that sum to 1, dimension by dimension, sweep by sweep."""
+def residual(raked: DataFrame, goals: dict[str, DataFrame]) -> float:
+    """The largest difference between a value's share of the weights and its target, over all dimensions."""
+    whole = raked.agg(F.sum("w")).first()[0]
+    worst = 0.0
+    for d, goal in goals.items():
+        have = raked.groupBy(F.col(d).cast("string").alias("h")).agg((F.sum("w") / F.lit(whole or 1.0)).alias("have"))
+        both = goal.join(have, F.col("v").eqNullSafe(F.col("h")), "full")
+        worst = max(worst, both.agg(F.max(F.abs(F.coalesce("goal", F.lit(0.0)) - F.coalesce("have", F.lit(0.0))))).first()[0] or 0.0)
+    return worst
+
+
+def rake(cells: DataFrame, targets: dict[str, dict | float], sweeps: int = 6, tolerance: float | None = None) -> DataFrame:
+    """cells (the dimensions, t: tokens) with w: raked weights that sum to 1, dimension by dimension, sweep by sweep.
+
+    Without a tolerance there are just so many sweeps; with one they go on (up to 50 times as many) until residual() is
+    at most that. Targets that no weights can meet, such as a value that occurs in cells without tokens only, end there too.
+    """
     goals = {d: saved(share_table(cells, d, t), "goals") for d, t in targets.items()}
     now = cells.withColumn("w", F.col("t").cast("double"))
-    for _ in range(sweeps):
+    for sweep in range(sweeps if tolerance is None else 50 * sweeps):
         for d, goal in goals.items():
             sums = now.groupBy(F.col(d).cast("string").alias("v")).agg(F.sum("w").alias("have"))
-            scale = sums.join(goal.withColumnRenamed("v", "g"), F.col("v").eqNullSafe(F.col("g"))).select("v", F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias("scale"))
-            now = now.join(scale, F.col(d).cast("string").eqNullSafe(F.col("v")), "left").withColumn("w", F.col("w") * F.coalesce("scale", F.lit(0.0))).drop("v", "scale")
+            scale = sums.join(goal.withColumnRenamed("v", "g"), F.col("v").eqNullSafe(F.col("g"))).select(F.col("v").alias("_v"), F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias("_scale"))
+            now = now.join(scale, F.col(d).cast("string").eqNullSafe(F.col("_v")), "left").withColumn("w", F.col("w") * F.coalesce("_scale", F.lit(0.0))).drop("_v", "_scale")
         now = saved(now, "raked")
+        if tolerance is not None and sweep + 1 >= sweeps and residual(now, goals) <= tolerance:
+            break
     return now
 
 
-def calibrate(raked: DataFrame, budget: float, rounds: int = 4) -> DataFrame:
-    """raked cells with p: the probability of keeping a document, so that expected tokens are budget x all tokens."""
-    now = raked.withColumn("p", F.lit(0.0))
-    for _ in range(rounds):
+def calibrate(raked: DataFrame, budget: float) -> DataFrame:
+    """raked cells with p: the probability of keeping a document, so that expected tokens are budget x all tokens.
+
+    Each round makes at least one more cell whole, or is the last.
+    """
+    now, held = raked.withColumn("p", F.lit(0.0)), -1
+    while True:
         full = F.col("p") >= 1
-        whole, taken, open_ = now.agg(F.sum("t"), F.sum(F.when(full, F.col("t"))), F.sum(F.when(~full, F.col("w")))).first()
+        whole, taken, open_, n = now.agg(F.sum("t"), F.sum(F.when(full, F.col("t"))), F.sum(F.when(~full, F.col("w"))), F.count_if(full)).first()
+        if n == held:
+            return now
+        held = n
         rate = max((whole or 0) * float(budget) - (taken or 0), 0.0) / open_ if open_ else 0.0
         now = now.withColumn("p", F.when(full, 1.0).when(F.col("t") > 0, F.least(F.lit(1.0), F.lit(rate) * F.col("w") / F.col("t"))).otherwise(F.lit(0.0)))
         now = saved(now, "rates")
-    return now
 
 
-def mix(docs: DataFrame, targets: dict[str, dict | float], budget: float, *, sweeps: int = 6, seed: int = 42) -> DataFrame:
-    """docs (with the dimensions' columns and n_tokens) with weight, probability and selected; all columns stay."""
-    dims = list(targets)
-    cells = saved(docs.groupBy(*dims).agg(F.sum("n_tokens").alias("t")), "cells")
-    rates = calibrate(rake(cells, targets, sweeps), budget).select(*[F.col(d).alias(f"_{d}") for d in dims], F.col("w").alias("weight"), F.col("p").alias("probability"))
-    same = reduce(lambda a, b: a & b, [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in dims])
-    out = docs.join(rates, same, "left").drop(*[f"_{d}" for d in dims])
+def mix(docs: DataFrame, targets: dict[str, dict | float], budget: float, *, sweeps: int = 6, tolerance: float | None = None, seed: int = 42) -> DataFrame:
+    """docs (with the dimensions' columns and n_tokens) with weight, probability and selected (columns of these names give
+    way unless they are dimensions, which are then not in the result); all other columns stay.
+    """
+    dims = {f"_d{i}": d for i, d in enumerate(targets)}
+    cells = saved(docs.groupBy(*[F.col(f"`{d}`").alias(x) for x, d in dims.items()]).agg(F.sum("n_tokens").alias("t")), "cells")
+    rates = calibrate(rake(cells, {x: targets[d] for x, d in dims.items()}, sweeps, tolerance), budget).select(*dims, F.col("w").alias("_weight"), F.col("p").alias("_probability"))
+    same = reduce(lambda a, b: a & b, [docs[f"`{d}`"].eqNullSafe(rates[x]) for x, d in dims.items()])
+    out = docs.join(rates, same, "left").drop(*dims).drop("weight", "probability", "selected")
+    out = out.withColumnsRenamed({"_weight": "weight", "_probability": "probability"})
     return out.withColumn("selected", draw(F.col("doc_id"), seed) < F.coalesce("probability", F.lit(0.0)))
