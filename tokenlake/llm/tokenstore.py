@@ -1,8 +1,9 @@
 """Token-ID binary files: each document a zstandard frame under one shared dictionary, with an offset index.
 
-A shard file is `MAGIC`, one byte of id width, 8 bytes of dictionary hash, then frames. The index (a Spark table)
-has a row per document: its shard file, the frame's place, its length in ids and the ids before it in the shard.
-Only index rows that Spark committed name a file, so what a lost or repeated task wrote is never read.
+A store is a folder: `dictionary` (the shared dictionary's bytes), `index` (a Parquet table) and `shards`. A shard file is
+`MAGIC`, one byte of id width, 8 bytes of dictionary hash, then frames. The index has a row per document: its shard file,
+the frame's place, its length in ids and the ids before it in the shard. Only index rows that Spark committed name a file,
+so what a lost or repeated task wrote is never read. open_store() needs nothing but the folder's path.
 
 Cases: a null or empty text gives just the end id; rows that share a doc_id are all kept, ordered by the text's hash;
 a null doc_id comes first; an empty table gives an empty index; other columns are ignored; a text of any length is
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm.common import filesystem, saved, shared_dir, small_batches
+from tokenlake.llm.common import filesystem, shared_dir, small_batches
 
 MAGIC = b"TLTOK1"
 HEADER = struct.Struct("<6sB8s")
@@ -58,22 +59,34 @@ def codec(raw: bytes, level: int = 3):
     return zstandard.ZstdCompressor(level=level, dict_data=have), zstandard.ZstdDecompressor(dict_data=have)
 
 
-def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, *, dict_bytes: int = 32768, sample_docs: int = 2048, sample_chars: int = 16384, level: int = 3) -> TokenStore:
-    """Encode whole texts and write them in ascending doc_id order.
+def open_store(spark: SparkSession, path: str) -> TokenStore:
+    """A store that was written before, by any session."""
+    fs, root = filesystem(path)
+    with fs.open_input_stream(f"{root}/dictionary") as f:
+        raw = f.read()
+    return TokenStore(path, spark.read.schema(INDEX).parquet(f"{path}/index"), raw, dictionary_hash(raw))
 
-    The dictionary is trained on about `sample_docs` texts, chosen by a hash of the id, of at most `sample_chars`
-    characters each: a dictionary serves short documents, and its training set is bounded by both.
+
+def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, *, path: str | None = None, dict_bytes: int = 32768, sample_docs: int = 2048, sample_chars: int = 16384, level: int = 3) -> TokenStore:
+    """Encode whole texts and write them in ascending doc_id order to `path` (a new folder; by default in the shared one).
+
+    The dictionary is trained on the first `sample_chars` characters of about `sample_docs` texts, chosen by a hash of the
+    id: a dictionary serves the beginnings of frames, and its training set is bounded by both.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     share = sample_docs / max(1, rows.count())
     u = F.pmod(F.xxhash64("doc_id", "tie", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    short = rows.where((u < share) & F.length("text").between(1, sample_chars))
+    short = rows.where((u < share) & (F.length("text") > 0)).select(F.substring("text", 1, sample_chars).alias("text"))
     from tokenlake.llm.tokens import encoder
 
     enc = encoder(tokenizer)
-    raw = train_dictionary([enc.encode(r.text) for r in short.select("text").toLocalIterator()], dict_bytes)
-    mark, path, end = dictionary_hash(raw), shared_dir(spark, "tokens"), end_id
+    raw = train_dictionary([enc.encode(r.text) for r in short.toLocalIterator()], dict_bytes)
+    mark, path, end = dictionary_hash(raw), path or shared_dir(spark, "tokens"), end_id
+    fs, root = filesystem(path)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/dictionary") as f:
+        f.write(raw)
 
     def write(batches: Iterator) -> Iterator:
         import os
@@ -87,7 +100,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, *, dict_bytes:
 
         task, enc = TaskContext.get(), encoder(tokenizer)
         pack, tail = codec(raw, level)[0].compress, enc.pack([end])
-        fs, root = filesystem(path)
+        fs, root = filesystem(f"{path}/shards")
         out, name, at, before = None, f"{task.partitionId():06d}-{task.attemptNumber()}-{uuid.uuid4().hex[:8]}.tok", HEADER.size, 0
         for batch in batches:
             rows = []
@@ -109,8 +122,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, *, dict_bytes:
             out.close()
 
     ordered = small_batches(rows).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    index = saved(ordered.mapInArrow(write, INDEX), "token-index")
-    return TokenStore(path, index, raw, mark)
+    ordered.mapInArrow(write, INDEX).write.parquet(f"{path}/index")
+    return open_store(spark, path)
 
 
 def read_store(store: TokenStore, *, with_ids: bool = False) -> DataFrame:
@@ -134,7 +147,7 @@ def read_store(store: TokenStore, *, with_ids: bool = False) -> DataFrame:
         from tokenlake.llm.tokenstore import HEADER
 
         unpack = codec(raw)[1]
-        fs, root = filesystem(path)
+        fs, root = filesystem(f"{path}/shards")
         name, source, width = None, None, 2
         for batch in batches:
             crcs, ids = [], []
@@ -167,7 +180,7 @@ def read_store(store: TokenStore, *, with_ids: bool = False) -> DataFrame:
 
 def read_document(spark: SparkSession, store: TokenStore, doc_id: int) -> list[list[int]]:
     """Short-document access: the ids of the rows of one doc_id, by the index and one read of each frame."""
-    fs, root = filesystem(store.path)
+    fs, root = filesystem(f"{store.path}/shards")
     unpack, found = codec(store.dictionary)[1], []
     for r in store.index.where(F.col("doc_id") == doc_id).toLocalIterator():
         import numpy as np
