@@ -10,7 +10,8 @@ Training uses at most about `docs_per_lang` documents of each language, chosen b
 bound; every document can be chosen). Prediction reads whole texts and nothing else.
 
 Cases: a null text, or one without a letter, is `und` with score 0; a tie goes to the first language by name; if no
-labelled document exists all are `und`; rows that share a doc_id are predicted each; an empty table gives no row.
+labelled document exists all are `und`; rows that share a doc_id are predicted each; an empty table gives no row; input
+columns named lang_pred or score give way to the predicted ones, all others stay.
 """
 
 from __future__ import annotations
@@ -38,15 +39,16 @@ def letters(text: str | None) -> str:
     return f" {' '.join(words)} " if words else ""
 
 
-def grams(text: str) -> np.ndarray:
-    """Hashes of all 3- and 4-grams of a text prepared by letters()."""
+def grams(text: str, starts: int | None = None) -> np.ndarray:
+    """Hashes of the 3- and 4-grams of a text prepared by letters(): all, or those that start in its first `starts` characters."""
     c = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     out = []
     for n in SIZES:
         if len(c) >= n:
-            h = np.full(len(c) - n + 1, n, dtype=np.uint64)
+            size = len(c) - n + 1 if starts is None else min(len(c) - n + 1, starts)
+            h = np.full(size, n, dtype=np.uint64)
             for i in range(n):
-                h = (h ^ c[i : len(c) - n + 1 + i]) * PRIME
+                h = (h ^ c[i : size + i]) * PRIME
                 h ^= h >> np.uint64(29)
             out.append(h)
     return np.concatenate(out) if out else np.empty(0, np.uint64)
@@ -92,7 +94,7 @@ class LanguageFilter:
         """(n-grams that each language holds, n-grams) of a prepared text, block by block."""
         hits, n = np.zeros(len(self.langs), dtype=np.int64), 0
         for start in range(0, len(text), BLOCK):
-            h = grams(text[start : start + BLOCK + max(SIZES) - 1])
+            h = grams(text[start : start + BLOCK + max(SIZES) - 1], BLOCK)
             n += len(h)
             for plane in range(len(self.words)):
                 values, many = np.unique(self.masks(h, plane), return_counts=True)
@@ -145,7 +147,8 @@ def train(labelled: DataFrame, *, docs_per_lang: int = 2000, cutoff: float = 2e-
 
 
 def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """docs with lang_pred and score; all other columns stay."""
+    """docs with lang_pred and score (columns of these names give way); all other columns stay."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
