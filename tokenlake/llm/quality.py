@@ -15,7 +15,8 @@ So, with confidence 1 - delta, at most `risk` of good documents are rejected in
 are too few for that promise, rules are silent there.
 
 Cases: a null text has no word; labels of documents that are absent, null labels and repeated labels of one document
-(the worst counts) are handled; a null stratum is a stratum; an empty table gives no row; other columns stay.
+(the worst counts) are handled; a null stratum is a stratum; an empty table gives no row; input columns that are named
+like counts, base_failed or kept give way to those made here, all others stay.
 """
 
 from __future__ import annotations
@@ -63,10 +64,10 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 
 def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns `keep`) with the counts of measure() and base_failed."""
-    keep = docs.columns if keep is None else keep
-    rows = docs.select(F.col("text").alias("_text"), *[docs[c] for c in keep])
+    """docs (or its columns `keep`) with the counts of measure() and base_failed; columns of these names give way."""
     names = [*BASE, "n_lines"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*names, "base_failed")]
+    rows = docs.select(F.col("text").alias("_text"), *[docs[c] for c in keep])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -97,15 +98,20 @@ def upper_bound(k: int, n: int, level: float) -> float:
 
 
 def at_risk(n: int, level: float, risk: float) -> int:
-    """The most rejections in n whose bound is at most risk; -1 if none."""
-    low, high = -1, n
-    while low < high - 1:
-        k = (low + high) // 2
-        if upper_bound(k, n, level) <= risk:
-            low = k
+    """The most rejections in n whose bound is at most risk, -1 if none: the largest k with P(X <= k) <= level at that risk."""
+    if risk >= 1:
+        return n
+    step, bound = math.log(risk) - math.log1p(-risk), math.log(level)
+    term = whole = n * math.log1p(-risk)  # of no rejection
+    k = -1
+    while whole <= bound and k < n:
+        k += 1
+        if k < n:
+            term += math.log((n - k) / (k + 1)) + step
+            whole += math.log1p(math.exp(min(term - whole, 700.0))) if term < whole else term - whole + math.log1p(math.exp(whole - term))
         else:
-            high = k
-    return low
+            return n
+    return k
 
 
 def needed(level: float, risk: float) -> int:
@@ -182,7 +188,7 @@ def thresholds(counts: DataFrame, labels: DataFrame, stratum: str = "lang", *, r
 
 
 def judged(counts: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
-    """counts with kept: false if the base rules fail, or a rule's value is above its stratum's cutoff."""
+    """counts with kept (a column of that name gives way): false if the base rules fail, or a rule's value is above its stratum's cutoff."""
     cuts = cuts.select(F.col("stratum").alias("_stratum"), F.col("cuts").alias("_cuts"))
     rows = counts.join(cuts, counts[stratum].eqNullSafe(cuts["_stratum"]), "left")
     bad = [F.coalesce(F.expr(f"double({value})") > F.try_element_at("_cuts", F.lit(rule)), F.lit(False)) for rule, (value, _) in RULES.items()]
