@@ -12,30 +12,62 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared spark.checkpoint.dir.
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder under the cluster's shared spark.checkpoint.dir.
 
-    Only where that is unset (local tests) does it take a folder of its own.
+    Only a local master, whose executors are this process, may do without that setting: it gets a folder of its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = context.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tokenlake-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tokenlake/{name}-{uuid.uuid4().hex}"
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tokenlake-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/tokenlake/{context.applicationId}"
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder in this application's."""
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
 
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application has in the shared folder: for callers that have taken their results."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, with its session's Arrow batches bounded to `rows` (fewer, if the session says so already).
 
-    Rows hold whole texts, so ten thousand of them (Spark's default) are far more memory than a task needs at once.
+def small_batches(df: DataFrame, rows: int = 1000, size: int = 32 << 20) -> DataFrame:
+    """df, with its session's Arrow batches bounded to `rows` and `size` bytes (less, if the session says so already).
+
+    Rows hold whole texts, so ten thousand of them (Spark's default) are far more memory than a task needs at once. Spark
+    reads these settings when the plan runs, which is after this returns, so they stay set.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, str(rows))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        have = df.sparkSession.conf.get(key).rstrip("b")
+        if not (have.isdigit() and 0 < int(have) <= most):
+            df.sparkSession.conf.set(key, str(most))
     return df
 
 
+def joined(rows: DataFrame, values: DataFrame, key: list[str], n: str, total: int, how: str = "left", parts: int = 512) -> DataFrame:
+    """rows with the columns of values, a table with a row per key and n: how many of `rows` have it. No key is a task of its own.
+
+    Keys that more than one in `parts` of all `total` rows have, fewer than `parts` keys, are broadcast, so that their
+    rows stay where they are; the other keys are joined by a shuffle. n is not in the result.
+    """
+    hot = F.col(n) > F.lit(total // parts)
+    few, rest = values.where(hot).drop(n), values.where(~hot).drop(n)
+    if few.isEmpty():
+        return rows.join(rest.hint("merge"), key, how)
+    others = rows.join(F.broadcast(few.select(*key)), key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(others.join(rest.hint("merge"), key, how))
+
+
 def saved(df: DataFrame, name: str, sort: list[str] | None = None) -> DataFrame:
     """df, written as a table in the shared folder and read again: a cut of the lineage that outlives executors."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenlake.llm.common import saved, small_batches
+from tokenlake.llm.common import joined, saved, small_batches
 
 RADIUS = 3
 LAST = (1 << 63) - 1
@@ -172,32 +172,37 @@ def links(distinct: DataFrame, bucket: int = 48) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the component's smallest node) of every node of edges a, b, by large-star and small-star rounds."""
+    """node, root (the component's smallest node) of every node of edges a, b, by large-star and small-star rounds.
+
+    A hub's edges are not dealt by the hub: its least neighbour is broadcast to them (see joined()).
+    """
     edges = saved(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    before = None
+    before, total = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low.hint("merge"), "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        low = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "low")
+        large = joined(both, low, ["a"], "n", 2 * total, "inner").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        down = large.where("a <> b").distinct().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        down = saved(down, "down")
+        least = saved(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        small = joined(down, least, ["a"], "n", total, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = saved(small.where("a <> b").distinct(), "stars")
-        n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if (n, total) == before:
+        total, mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if (total, mark) == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = (n, total)
+        before = (total, mark)
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id (null: LAST), fp, root (the component's smallest fingerprint), component_id of every row of docs."""
-    rows = saved(fingerprints(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text"), ["doc_id"]), "fingerprints")
-    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    """doc_id (null: LAST), text_hash, fp, root (the component's smallest fingerprint), component_id of every row of docs."""
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = saved(fingerprints(ids, ["doc_id", "text_hash"]), "fingerprints")
+    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     found = components(links(distinct))
-    member = distinct.join(found.hint("merge"), distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(member.join(lowest.hint("merge"), "root").select("fp", "root", "component_id").hint("merge"), "fp")
+    member = saved(distinct.join(found.hint("merge"), distinct["fp"] == found["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "member")
+    lowest = saved(member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("m")), "lowest")
+    whole = saved(joined(member, lowest, ["root"], "m", distinct.count()).select("fp", "n", "root", "component_id"), "whole")
+    return joined(rows, whole, ["fp"], "n", rows.count())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -207,14 +212,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs, one row of each group: that with the smallest doc_id (of equal ones, the smallest fingerprint). All columns stay."""
+    """docs, one row of each group: that with the smallest doc_id (of equal ones, the smallest hash of the text). All columns stay."""
     from pyspark.sql import Window
 
-    heads = grouped(docs).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("head")).select(F.col("head.doc_id").alias("_head_id"), F.col("head.fp").alias("_head_fp"))
+    heads = grouped(docs).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("head")).select(F.col("head.doc_id").alias("_head_id"), F.col("head.text_hash").alias("_head_text"))
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     own = dict(zip(docs.columns, named.columns, strict=True))
-    rows = fingerprints(named.withColumn("text", F.col(own["text"])), named.columns)
-    rows = rows.withColumn("_id", F.coalesce(F.col(own["doc_id"]).cast("long"), F.lit(LAST)))
-    kept = rows.join(heads, (rows["_id"] == heads["_head_id"]) & (rows["fp"] == heads["_head_fp"]))
-    n = F.row_number().over(Window.partitionBy("_id", "fp").orderBy(F.xxhash64(own["text"])))
+    rows = named.withColumn("_id", F.coalesce(F.col(own["doc_id"]).cast("long"), F.lit(LAST))).withColumn("_text", F.xxhash64(own["text"]))
+    kept = rows.join(heads.hint("merge"), (F.col("_id") == F.col("_head_id")) & (F.col("_text") == F.col("_head_text")))
+    n = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.xxhash64(*own.values())))  # equal rows of one id
     return kept.withColumn("_n", n).where("_n = 1").select(*[F.col(c).alias(k) for k, c in own.items()])

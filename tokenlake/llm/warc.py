@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenlake.llm.common import filesystem, saved, shared_dir, small_batches
+from tokenlake.llm.common import filesystem, joined, saved, shared_dir, small_batches
 
 LEAST = 1000
 RUN = "run string, seq long, urlkey string, ts timestamp, page_id long, file string, offset long, size long"
@@ -49,11 +49,14 @@ def marked(pages: DataFrame, ts: str | None = None) -> DataFrame:
     """page_id, url, ts, payload, digest, first (the page that a revisit refers to, else null)."""
     at = F.col(ts).cast("timestamp") if ts else F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.col("page_id"), F.lit(0)))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", at.alias("ts"), F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("large", F.octet_length("payload") >= LEAST)
-    copies = rows.where("large").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    large = F.octet_length("payload") >= LEAST
+    # Digests alone tell which payloads are copies.
+    seen = saved(rows.select("page_id", "digest", large.alias("large")), "digests")
+    copies = saved(seen.where("large").groupBy(F.col("digest").alias("key")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
     # A small payload refers to nothing; its key is its own, so that small payloads do not meet in one task.
-    key = F.when(F.col("large"), F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.substring("digest", 1, 8)))
-    found = rows.withColumn("key", key).join(copies.withColumnRenamed("digest", "key"), "key", "left")
+    key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.substring("digest", 1, 8)))
+    found = joined(rows.withColumn("key", key), copies, ["key"], "n", seen.count())
     own = F.col("first").isNull() | F.col("first").eqNullSafe(F.col("page_id"))
     return found.select("page_id", "url", "ts", "payload", "digest", F.when(~own, F.col("first")).alias("first"))
 
