@@ -2,8 +2,10 @@
 
 import gzip
 import hashlib
+import math
 import os
 import random
+import zlib
 from collections import Counter
 
 import duckdb
@@ -186,3 +188,247 @@ def test_pipeline_takes_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, DATA)
             now.collect()
+
+
+# columns that are named like an operator's own, and the registered queries
+
+
+def test_clashing_columns_give_way(spark):
+    from tokenlake.llm import langid, ppm, quality
+
+    rows = [(i, f"the cat number {i} sat on the mat and the dog lay there too", "en", "s") for i in range(30)] + [(31, None, None, None)]
+    base = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    own = ["lang_pred", "score", "n_words", "n_lines", "base_failed", "kept", "n_tokens", "n_known", "weight", "probability", "selected", "t", "w", "p", "v", "goal", "have"]
+    docs = base.withColumns({c: F.lit("clash") for c in own})
+    model = langid.train(docs)
+    got = langid.identify(docs, model)
+    assert len(got.columns) == len(set(got.columns)) == len(docs.columns) and got.where("score >= 0").count() == 31
+    counts = quality.measured(docs)
+    assert len(counts.columns) == len(set(counts.columns)) and counts.where("n_words = 12").count() == 30
+    judged = quality.judged(counts, quality.thresholds(counts, spark.createDataFrame([], "doc_id long, quality int")))
+    assert len(judged.columns) == len(set(judged.columns)) and judged.where("kept").count() == 30
+    scored = ppm.score(docs, F.col("doc_id") < 20, keep=["doc_id", "n_tokens", "w"])
+    assert scored.columns == ["doc_id", "w", *ppm.MADE] and scored.where("w = 'clash'").count() == 31
+    tokens = docs.withColumn("n_tokens", mixing.tokens(F.col("text"))).withColumn("t", F.col("source")).withColumn("probability", F.col("lang"))
+    mixed = mixing.mix(tokens, {"t": 1.0, "probability": 0.5}, 0.5)
+    assert len(mixed.columns) == len(set(mixed.columns)) and mixed.where("probability between 0.49 and 0.51").count() == 30
+
+
+def test_raking_stops_at_the_tolerance(spark):
+    rng = random.Random(3)
+    cells = spark.createDataFrame([(a, b, rng.randint(1, 900)) for a in "abcd" for b in "xyz"], "a string, b string, t long")
+    goals = {"a": {k: i + 1.0 for i, k in enumerate("abcd")}, "b": 0.5}
+    near = mixing.rake(cells, goals, 1, tolerance=1e-9)
+    shares = {d: mixing.share_table(cells, d, g) for d, g in goals.items()}
+    assert mixing.residual(near, shares) <= 1e-9 < mixing.residual(mixing.rake(cells, goals, 1), shares)
+    lone = spark.createDataFrame([("a", "x", 0), ("b", "x", 5)], "a string, b string, t long")
+    assert mixing.rake(lone, {"a": {"a": 1.0, "b": 1.0}, "b": 1.0}, 1, tolerance=1e-9).count() == 2
+
+
+def test_repeated_and_huge_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 8)) * 1e100
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[5].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, 10).collect():
+        got.setdefault((r.query_id, r.rank), []).append(r.vec_id)
+    assert {k: len(v) for k, v in got.items()} == {(q, r): 1 + (q == 20) for q in (0, 20, 40) for r in range(1, 11)}
+    ids, every = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for q, at in ((0, 0), (40, 40)):
+        s = every @ x[at]
+        keep = np.flatnonzero(ids != q)
+        assert [got[(q, r)][0] for r in range(1, 11)] == ids[keep[np.lexsort((ids[keep], -s[keep]))][:10]].tolist()
+
+
+def test_vector_query_against_brute_force(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    want = slow_search(ids, x, 20, 20)
+    got = {}
+    for r in QUERIES["op7_ann"](spark, DATA).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got.keys() == want.keys() and np.mean([len(set(got[q]) & set(want[q])) / len(want[q]) for q in want]) >= 0.9
+
+
+def test_store_query_against_the_library(spark):
+    from tokenizers import Tokenizer
+
+    from tokenlake.llm.queries import vocabulary
+
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    at = 0
+    want = {}
+    for r in sorted(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()):
+        ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        want[r.doc_id] = (at, len(ids), zlib.crc32(ids))
+        at += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op1_token_store"](spark, DATA).collect()} == want
+
+
+def test_archive_query_against_a_loop(spark):
+    rows = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "html").collect()
+    heads = {}
+    for r in rows:
+        if len(raw := (r.html or "").encode()) >= 1000:
+            heads[raw] = max(heads.get(raw, r.page_id), r.page_id)
+    want = {}
+    for r in rows:
+        raw = (r.html or "").encode()
+        first = heads.get(raw, r.page_id)
+        want[r.page_id] = (len(raw), hashlib.sha1(raw).hexdigest(), "response" if first == r.page_id else "revisit", None if first == r.page_id else first)
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in QUERIES["op2_warc"](spark, DATA).collect()} == want
+
+
+def test_packing_query(spark):
+    from tokenizers import Tokenizer
+
+    from tokenlake.llm.queries import vocabulary
+
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    got, places = {}, {}
+    for r in QUERIES["op10_packing"](spark, DATA).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    total = 0
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect():
+        ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+        total += len(ids)
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        assert sorted(got.pop(r.doc_id)) == [(i, a, b - a, zlib.crc32(ids[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    assert not got
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(places) <= -(-total // 1024) + 2
+
+
+def test_text_queries_against_plain_models(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()
+    said = {r.doc_id: r for r in QUERIES["op4_language_id"](spark, DATA).collect()}
+    assert {d: r.held_out for d, r in said.items()} == {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    held = [r for r in rows if said[r.doc_id].held_out and any(c.isalpha() for c in r.text or "")]
+    assert sum(said[r.doc_id].lang_pred == r.lang for r in held) / len(held) > 0.95
+    scored = {r.doc_id: r for r in QUERIES["op6_ppm"](spark, DATA).collect()}
+    words = {r.doc_id: (r.text or "").encode().lower().split() for r in rows}
+    train = Counter()
+    for d, own in words.items():
+        if zlib.crc32(str(d).encode()) % 10:
+            train.update([*own, None])
+    n, v = sum(train.values()), len(train)
+    for d, own in words.items():
+        r = scored[d]
+        base = sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*own, None])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(d).encode()) % 10 == 0, len(own) + 1, sum(train[w] > 0 for w in [*own, None]), n)
+        assert r.base_score == pytest.approx(base) and r.score < 0
+
+
+def test_fingerprint_query_against_all_pairs(spark):
+    rows = {r.doc_id: int(r.fingerprint, 16) for r in QUERIES["op5_simhash"](spark, DATA).collect()}
+    found = {r.doc_id: r.component_id for r in QUERIES["op5_simhash"](spark, DATA).collect()}
+    root = {d: d for d in rows}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids = sorted(rows)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if (rows[a] ^ rows[b]).bit_count() <= 3:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    assert found == {d: top(d) for d in ids}
+
+
+def test_open_store_in_a_new_session(spark, tmp_path):
+    from tokenlake.llm import tokenstore
+    from tokenlake.llm.queries import vocabulary
+
+    docs = spark.createDataFrame([(1, "some words here"), (2, "more " * 9000), (3, None)], "doc_id long, text string")
+    store = tokenstore.write_store(docs, vocabulary("word_bpe_49k.json"), path=str(tmp_path / "store"))
+    want = sorted(map(tuple, tokenstore.read_store(store).collect()))
+    again = tokenstore.open_store(spark.newSession(), str(tmp_path / "store"))
+    assert again.dictionary == store.dictionary and sorted(map(tuple, tokenstore.read_store(again).collect())) == want
+    assert tokenstore.read_document(spark.newSession(), again, 2) == tokenstore.read_document(spark, store, 2)
+
+
+def test_pipeline_run_equals_a_plain_model(spark):
+    """Each stage of run() once more in plain Python, from the rows that the stage before keeps."""
+    from tokenizers import Tokenizer
+
+    from tokenlake.llm import langid, quality
+    from tokenlake.llm.queries import vocabulary
+
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = {r.doc_id: r for r in table.collect()}
+    crc = lambda d: zlib.crc32(str(d).encode())
+    model = langid.train(table.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    said = {d: model.predict(r.text) for d, r in docs.items()}
+    kept = {d for d in docs if said[d][0] != "und" and said[d][1] >= corpus_pipeline.LEAST_SCORE}
+    assert all(model.langs == sorted(model.langs) and crc(d) >= 0 for d in kept)
+
+    names = [*quality.BASE, "n_lines"]
+    counts = {d: dict(zip(names, quality.measure(docs[d].text), strict=True)) for d in kept}
+    some = spark.createDataFrame([(d, docs[d].lang, *counts[d].values(), False) for d in kept if not (counts[d]["n_words"] < 10 or 5 * counts[d]["n_repeat_words"] > counts[d]["n_words"])], "doc_id long, lang string, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean")
+    cuts = {r.stratum: r.cuts for r in quality.thresholds(some, spark.read.parquet(f"{DATA}/labels.parquet")).collect()}
+    value = {"symbols": lambda c: c["n_symbols"] / max(c["word_chars"], 1), "dup_lines": lambda c: c["n_dup_lines"] / max(c["n_lines"], 1), "repeats": lambda c: c["n_repeat_words"] / max(c["n_words"], 1), "long_words": lambda c: c["word_chars"] / max(c["n_words"], 1)}
+    kept = {r.doc_id for r in some.collect() if all(value[k](counts[r.doc_id]) <= cut for k, cut in cuts.get(r.lang, {}).items())}
+
+    prints = {d: simhash.fingerprint(docs[d].text) for d in kept}
+    left, heads = set(kept), set()
+    while left:
+        group, todo = set(), [min(left)]
+        while todo:
+            a = todo.pop()
+            if a in left:
+                left.discard(a)
+                group.add(a)
+                todo += [b for b in left if (prints[a] ^ prints[b]).bit_count() <= 3]
+        heads.add(min(group))
+
+    size = {d: len((docs[d].text or "").encode().split()) for d in heads}
+    topics = {r.doc_id: r.topic for r in table.select("doc_id", mixing.topic(F.col("text")).alias("topic")).collect()}
+    cell = {d: (docs[d].source, docs[d].lang, topics[d]) for d in heads}
+    tokens = Counter()
+    for d in heads:
+        tokens[cell[d]] += size[d]
+    powers = list(corpus_pipeline.TARGETS.values())
+    goals = []
+    for i, power in enumerate(powers):
+        sums = Counter()
+        for c, t in tokens.items():
+            sums[c[i]] += t
+        goals.append({k: v**power for k, v in sums.items()})
+        goals[i] = {k: v / sum(goals[i].values()) for k, v in goals[i].items()}
+    weights, last = {c: float(t) for c, t in tokens.items()}, math.inf
+    for sweep in range(1, 1000):
+        weights = raked(weights, goals, 1)
+        off = max(abs(g - sum(w for c, w in weights.items() if c[i] == k)) for i, goal in enumerate(goals) for k, g in goal.items())
+        if sweep >= 6:
+            if off <= corpus_pipeline.TOLERANCE or off > 0.99 * last:
+                break
+            last = off
+    share, whole, n = dict.fromkeys(tokens, 0.0), sum(tokens.values()), -1
+    while n != sum(p >= 1 for p in share.values()):
+        n = sum(p >= 1 for p in share.values())
+        rate = max(whole * corpus_pipeline.BUDGET - sum(tokens[c] for c, p in share.items() if p >= 1), 0) / sum(weights[c] for c, p in share.items() if p < 1)
+        share = {c: 1.0 if p >= 1 else min(1.0, rate * weights[c] / tokens[c]) if tokens[c] else 0.0 for c, p in share.items()}
+    drawn = {d for d in heads if int(hashlib.md5(f"42:{d}".encode()).hexdigest()[:13], 16) / 2**52 < share[cell[d]]}
+
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    want = Counter()
+    for d in drawn:
+        ids = np.array([*library.encode(docs[d].text or "", add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        want.update((d, i, a, b - a, zlib.crc32(ids[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    got = corpus_pipeline.run(spark, DATA).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    fill = Counter()
+    for r in got:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 1024 and len(fill) <= -(-sum(fill.values()) // 1024) + 2

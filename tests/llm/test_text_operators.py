@@ -70,7 +70,7 @@ def test_long_texts_count_like_short_blocks(monkeypatch):
     whole = f.counts(langid.letters("the of and " * 50))
     monkeypatch.setattr(langid, "BLOCK", 37)
     parts = f.counts(langid.letters("the of and " * 50))
-    assert parts[0].tolist() == whole[0].tolist() or abs(parts[1] - whole[1]) <= 50
+    assert parts[0].tolist() == whole[0].tolist() and parts[1] == whole[1]
 
 
 # quality rules
@@ -106,6 +106,14 @@ def test_upper_bound_is_exact():
     assert quality.upper_bound(k, 5000, 1e-4) <= 0.01 < quality.upper_bound(k + 1, 5000, 1e-4)
 
 
+def test_allowed_rejections_are_the_bound_s():
+    for n in (0, 1, 10, 149, 150, 390, 2000):
+        for level in (0.05, 0.001):
+            for risk in (0.02, 0.3):
+                fits = [k for k in range(n + 1) if quality.upper_bound(k, n, level) <= risk] if n else []
+                assert quality.at_risk(n, level, risk) == max(fits, default=-1)
+
+
 def test_thresholds_control_the_risk(spark):
     rng = random.Random(6)
     rows, labels = [], []

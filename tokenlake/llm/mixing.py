@@ -69,19 +69,24 @@ def residual(raked: DataFrame, goals: dict[str, DataFrame]) -> float:
 def rake(cells: DataFrame, targets: dict[str, dict | float], sweeps: int = 6, tolerance: float | None = None) -> DataFrame:
     """cells (the dimensions, t: tokens) with w: raked weights that sum to 1, dimension by dimension, sweep by sweep.
 
-    Without a tolerance there are just so many sweeps; with one they go on (up to 50 times as many) until residual() is
-    at most that. Targets that no weights can meet, such as a value that occurs in cells without tokens only, end there too.
+    Without a tolerance there are just so many sweeps; with one there may be more, until residual() is at most that, or
+    no longer falls by a hundredth a sweep: some targets no weights can meet, such as one of a value without tokens.
     """
     goals = {d: saved(share_table(cells, d, t), "goals") for d, t in targets.items()}
     now = cells.withColumn("w", F.col("t").cast("double"))
-    for sweep in range(sweeps if tolerance is None else 50 * sweeps):
+    sweep, last = 0, float("inf")
+    while tolerance is not None or sweep < sweeps:
         for d, goal in goals.items():
             sums = now.groupBy(F.col(d).cast("string").alias("v")).agg(F.sum("w").alias("have"))
             scale = sums.join(goal.withColumnRenamed("v", "g"), F.col("v").eqNullSafe(F.col("g"))).select(F.col("v").alias("_v"), F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias("_scale"))
             now = now.join(scale, F.col(d).cast("string").eqNullSafe(F.col("_v")), "left").withColumn("w", F.col("w") * F.coalesce("_scale", F.lit(0.0))).drop("_v", "_scale")
         now = saved(now, "raked")
-        if tolerance is not None and sweep + 1 >= sweeps and residual(now, goals) <= tolerance:
-            break
+        sweep += 1
+        if tolerance is not None and sweep >= sweeps:
+            off = residual(now, goals)
+            if off <= tolerance or off > 0.99 * last:
+                break
+            last = off
     return now
 
 
