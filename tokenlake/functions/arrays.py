@@ -70,8 +70,9 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def si_sdr(reference: Column, estimate: Column, cap: float = 100.0) -> Column:
-    """Scale-invariant signal-to-distortion ratio in dB over the common length; null if the reference is silent."""
+def si_sdr(reference: Column, estimate: Column, cap: float = 100.0, *, strict: bool = False) -> Column:
+    """Scale-invariant signal-to-distortion ratio in dB over the common length; null, or an error if strict, if the reference is silent."""
+    silent = F.raise_error(F.lit("the reference is silent")).cast("double") if strict else F.lit(None).cast("double")
     n = F.least(F.size(reference), F.size(estimate))
     centred = lambda a: let(F.transform(F.slice(a, F.lit(1), n), lambda x: x.cast("double")), lambda v: let(total(v) / F.size(v), lambda m: F.transform(v, lambda x: x - m)))
     dot = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * y))
@@ -79,7 +80,7 @@ def si_sdr(reference: Column, estimate: Column, cap: float = 100.0) -> Column:
     def value(r: Column, e: Column) -> Column:
         def of(scale: Column, power: Column) -> Column:
             noise = total(F.zip_with(e, r, lambda a, b: (a - scale * b) * (a - scale * b)))
-            return let(noise, lambda q: F.when(power == 0, F.lit(None).cast("double")).when(q == 0, F.lit(cap)).otherwise(F.least(10 * F.log10(F.try_divide(scale * scale * power, q)), F.lit(cap))))
+            return let(noise, lambda q: F.when(power == 0, silent).when(q == 0, F.lit(cap)).otherwise(F.least(10 * F.log10(F.try_divide(scale * scale * power, q)), F.lit(cap))))
 
         return let(dot(r, r), lambda power: let(F.try_divide(dot(r, e), power), lambda scale: of(scale, power)))
 

@@ -71,6 +71,13 @@ def resample(column, source: int, target: int):
     return run(column)
 
 
+def aligned(reference, estimate, source: int = 24_000, target: int = 16_000):
+    """(reference, estimate at the reference's rate), both cut to the shorter: what every signal metric takes."""
+    other = resample(estimate, source, target)
+    n = F.least(F.size(reference), F.size(other))
+    return F.slice(F.transform(reference, lambda x: x.cast("double")), F.lit(1), n), F.slice(other, F.lit(1), n)
+
+
 @F.pandas_udf(T.DoubleType())
 def mel_l1(reference: pd.Series, estimate: pd.Series) -> pd.Series:
     return pd.Series([mel_distance(r, e) if r is not None and e is not None else None for r, e in zip(reference, estimate, strict=True)])

@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenlake.functions.arrays import let
+
 #: Words in Spark and DuckDB regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
 #: What Python's str.strip and \s take as white space.
@@ -83,35 +85,50 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+#: Code points for distinct words: those above the basic plane.
+LETTERS = 1 << 20
+
+
 def word_errors(ref: Column, hyp: Column) -> Column:
     """Edit distance over words: each distinct word of the pair becomes one character, then levenshtein.
 
-    The characters are those from U+4E00 up to the surrogates, 35 328 of them; a pair with more distinct words
-    is an error rather than a wrong count.
+    A pair with more than LETTERS distinct words, which no transcript has, is an error rather than a wrong count. The
+    words' names and the strings are computed once a pair, whatever names them.
     """
-    r, h = word_array(ref), word_array(hyp)
-    names = F.array_distinct(F.concat(r, h))
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(names, w) + 19967), 4, "0")), "UTF-16BE")
-    join = lambda a: F.array_join(F.transform(a, letter), "")
-    fits = F.size(names) <= 35328
-    return F.when(fits, edits(join(r), join(h))).otherwise(F.raise_error(F.lit("more than 35328 distinct words in a pair"))).cast("long")
+
+    def distance(r: Column, h: Column, names: Column) -> Column:
+        letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(names, w) + 65535), 8, "0")), "UTF-32")
+        join = lambda a: F.array_join(F.transform(a, letter), "")
+        many = F.raise_error(F.lit(f"more than {LETTERS} distinct words in a pair")).cast("int")
+        return F.when(F.size(names) <= LETTERS, edits(join(r), join(h))).otherwise(many)
+
+    return let(word_array(ref), lambda r: let(word_array(hyp), lambda h: let(F.array_distinct(F.concat(r, h)), lambda names: distance(r, h, names)))).cast("long")
 
 
 def edits(a: Column, b: Column) -> Column:
-    """levenshtein, tried within narrow bands first: its cost is then the band times the length."""
-    within = lambda n: F.nullif(F.levenshtein(a, b, n), F.lit(-1))
-    return F.coalesce(within(16), within(128), F.levenshtein(a, b))
+    """levenshtein, tried within bands that grow from the difference of the lengths: its cost is the band times the length."""
+
+    def banded(x: Column, y: Column) -> Column:
+        near = F.abs(F.char_length(x) - F.char_length(y)) * 4 + 16
+        within = lambda n: F.nullif(F.call_function("levenshtein", x, y, n), F.lit(-1))
+        return F.coalesce(within(near), within(near * 8), F.levenshtein(x, y))
+
+    return let(a, lambda x: let(b, lambda y: banded(x, y)))
 
 
 def char_errors(ref: Column, hyp: Column) -> Column:
     return edits(ref, hyp).cast("long")
 
 
-def parsed_tokens(raw: Column) -> Column:
-    """A JSON list of integers, or integers between commas and white space; null if neither."""
+def parsed_tokens(raw: Column, strict: bool = False) -> Column:
+    """A JSON list of integers, or integers between commas and white space; of anything else null, or an error if strict."""
     text = F.trim(raw)
     listed = F.from_json(text, "array<int>")
     parts = F.filter(F.split(text, r"[,\s]+"), lambda p: p != "")
     cast = F.transform(parts, lambda p: p.try_cast("int"))
     plain = F.when((F.size(parts) > 0) & ~F.exists(cast, lambda c: c.isNull()), cast)
-    return F.when(text.startswith("["), F.when(~F.exists(listed, lambda c: c.isNull()), listed)).otherwise(plain)
+    got = F.when(text.startswith("["), F.when(~F.exists(listed, lambda c: c.isNull()), listed)).otherwise(plain)
+    if not strict:
+        return got
+    said = F.when(F.coalesce(text, F.lit("")) == "", "no tokens to read").otherwise(F.concat(F.lit("not a list of tokens: "), F.substring(text, 1, 80)))
+    return F.when(got.isNotNull(), got).otherwise(F.raise_error(said).cast("array<int>"))

@@ -60,6 +60,55 @@ def decode(rows: DataFrame, factory: Callable = stub_decoder) -> DataFrame:
     return rows.select("audio_id", "tokens").mapInPandas(run, "audio_id string, samples array<double>")
 
 
+def said(result) -> str:
+    """The text of what a recogniser returns: a string, an object or a dict with `text`, or a list of these joined by spaces."""
+    if isinstance(result, str):
+        return " ".join(result.split())
+    if isinstance(result, list | tuple):
+        return " ".join(filter(None, map(said, result)))
+    text = result.get("text") if isinstance(result, dict) else getattr(result, "text", None)
+    if text is None:
+        raise TypeError(f"no text in a {type(result).__name__}")
+    return " ".join(str(text).split())
+
+
+def latents(clips: DataFrame, factory: Callable, samples: str = "samples") -> DataFrame:
+    """audio_id, latents ([D][F], before quantisation) of single clips; the factory's function takes a 1-D array, gives a 2-D one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = factory()
+        for pdf in batches:
+            yield pd.DataFrame({"audio_id": pdf["audio_id"], "latents": [np.asarray(one(np.asarray(x, dtype=np.float64))).tolist() for x in pdf[samples]]})
+
+    return clips.select("audio_id", samples).mapInPandas(run, "audio_id string, latents array<array<double>>")
+
+
+def intrusive_metrics(pairs: DataFrame, factories: dict[str, Callable], reference: str = "reference", estimate: str = "estimate") -> DataFrame:
+    """audio_id and a column per metric, such as PESQ or STOI: null where its library is absent or fails on the clip."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have = {}
+        for name, factory in factories.items():
+            try:
+                have[name] = factory()
+            except ImportError:
+                have[name] = None
+
+        def value(one, r, e):
+            try:
+                return float(one(np.asarray(r), np.asarray(e))) if one is not None else None
+            except Exception:  # a metric that refuses a clip is no failure of the run
+                return None
+
+        for pdf in batches:
+            out = {"audio_id": pdf["audio_id"]}
+            for name, one in have.items():
+                out[name] = pd.Series([value(one, r, e) for r, e in zip(pdf[reference], pdf[estimate], strict=True)], dtype="float64")
+            yield pd.DataFrame(out)
+
+    return pairs.select("audio_id", reference, estimate).mapInPandas(run, "audio_id string, " + ", ".join(f"`{n}` double" for n in factories))
+
+
 def transcribe(rows: DataFrame, factory: Callable, samples: str = "samples") -> DataFrame:
     """audio_id, text, error. A clip that fails has an empty text and its error, and counts as done."""
 
@@ -69,7 +118,7 @@ def transcribe(rows: DataFrame, factory: Callable, samples: str = "samples") ->
             out = []
             for audio_id, x in zip(pdf["audio_id"], pdf[samples], strict=True):
                 try:
-                    out.append((audio_id, " ".join(str(one(x)).split()), None))
+                    out.append((audio_id, said(one(x)), None))
                 except Exception as e:  # one bad clip must not end the run
                     out.append((audio_id, "", f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["audio_id", "text", "error"])

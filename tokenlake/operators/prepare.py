@@ -56,10 +56,13 @@ def prepare(clips: DataFrame, most: int = 896, least: int = 50, *, letters: str
     mapped = clips.select("audio_id", "text", "tokens", mapped_text("text").alias("mapped"))
     early = mapped.withColumn("early", reject_reason(F.col("text"), F.col("mapped"), F.size("tokens"), most - OVERHEAD, least, letters=letters))
     spoken = early.withColumn("phones", phones(F.when(F.col("early").isNull(), F.col("text"))))
-    made = spoken.withColumn("_head", head(ids(F.col("phones")))).withColumn("_ids", assemble(F.col("_head"), F.col("tokens"), SPEECH_BASE, SPEECH_START, SPEECH_END))
-    reject = F.coalesce(F.col("early"), F.when(F.coalesce(F.col("phones"), F.lit("")) == "", "empty_phonemes"), F.when(F.size("_ids") > most, "too_long_with_phonemes"), F.lit(""))
+    made = spoken.withColumn("_phone_ids", ids(F.col("phones")))
+    whole = assemble(head(F.col("_phone_ids")), F.col("tokens"), SPEECH_BASE, SPEECH_START, SPEECH_END)
+    start = F.size("_phone_ids") + len(PREFIX) + len(INFIX) + 2
+    size = start + F.size("tokens") + 2
+    reject = F.coalesce(F.col("early"), F.when(F.coalesce(F.col("phones"), F.lit("")) == "", "empty_phonemes"), F.when(size > most, "too_long_with_phonemes"), F.lit(""))
     kept = F.col("reject") == ""
-    return made.withColumn("reject", reject).select("audio_id", F.when(kept, F.col("_ids")).otherwise(F.array().cast("array<int>")).alias("input_ids"), F.when(kept, F.size("_head")).otherwise(-1).alias("speech_start_idx"), F.when(kept, F.size("_ids")).otherwise(0).alias("length"), "reject")
+    return made.withColumn("reject", reject).select("audio_id", F.when(kept, whole).otherwise(F.array().cast("array<int>")).alias("input_ids"), F.when(kept, start).otherwise(-1).alias("speech_start_idx"), F.when(kept, size).otherwise(0).alias("length"), "reject")
 
 
 def kept(prepared: DataFrame) -> DataFrame:
@@ -83,6 +86,12 @@ def collate(batches: DataFrame, pad: int = 0, multiple: int = 8, batch: str = "b
     return rows.select(*[c for c in batches.columns if c != "input_ids"], "padded", padded_to(F.col("input_ids"), F.col("padded"), pad).alias("input_ids"), padded_to(labels, F.col("padded"), IGNORED).alias("labels"), padded_to(F.array_repeat(F.lit(1), F.col("length")), F.col("padded"), 0).alias("attention_mask"))
 
 
+def of_categories(items: DataFrame, wanted: str | None = None, column: str = "category") -> DataFrame:
+    """The items of the categories named between commas; all of them if none is named."""
+    names = [n.strip() for n in (wanted or "").split(",") if n.strip()]
+    return items.where(F.col(column).isin(names)) if names else items
+
+
 def contiguous(ids: DataFrame, base: int = SPEECH_BASE, vocabulary: int = VOCABULARY) -> DataFrame:
     """Whether columns code, id are code + base for every code of the vocabulary: n, ok."""
     return ids.agg(F.count("*").alias("n"), ((F.count_distinct("code") == vocabulary) & F.every(F.col("id") == F.col("code") + base) & (F.min("code") == 0) & (F.max("code") == vocabulary - 1)).alias("ok"))

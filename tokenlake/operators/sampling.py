@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenlake.functions.arrays import duration_bucket
-from tokenlake.operators.ranks import global_rank
+from tokenlake.operators.ranks import global_rank, numbered
 
 EDGES = (2.0, 4.0, 6.0, 8.0, 10.0)
 
@@ -37,7 +37,7 @@ def stratified_keys(clips: DataFrame, seed: int = 42, edges=EDGES, draw=u01) ->
     Strata are duration bucket x channel. A stratum is ranked over a hash-range part of its own first, so that a hot
     stratum is many tasks: rank = rows of earlier parts + rank in the part.
     """
-    parts = 64
+    parts = max(8, clips.count() // 100_000)
     rows = clips.withColumn("bucket", duration_bucket(F.col("duration"), edges)).withColumn("_u", draw(F.col("audio_id"), seed)).withColumn("_part", F.floor(F.col("_u") * parts).cast("int"))
     sizes = rows.groupBy("bucket", "channel", "_part").agg(F.count("*").alias("_rows"))
     stratum = Window.partitionBy("bucket", "channel")
@@ -64,9 +64,14 @@ def stratum_counts(clips: DataFrame, edges=EDGES) -> DataFrame:
 
 
 def exact_length_batches(clips: DataFrame, max_batch: int = 1, key: str = "audio_id") -> DataFrame:
-    """clips with batch: clips of one n_samples only, max_batch at most, in the order of key."""
-    number = F.row_number().over(Window.partitionBy("n_samples").orderBy(key)) - 1
-    return clips.withColumn("batch", F.floor(number / max_batch).cast("long"))
+    """clips with batch: clips of one n_samples only, max_batch at most, in the order of key (unique). Only ids are numbered."""
+    places = numbered(clips, "n_samples", key).select(F.col("n_samples").alias("_n"), F.col(key).alias("_k"), F.floor(F.col("number") / max_batch).cast("long").alias("batch"))
+    return clips.join(places, clips["n_samples"].eqNullSafe(places["_n"]) & (clips[key] == places["_k"])).drop("_n", "_k")
+
+
+def random_subset(rows: DataFrame, share: float, seed: int = 42, key: str = "audio_id") -> DataFrame:
+    """The rows whose draw, a hash of the key, is below the share: the same ones in every run, and nested in larger shares."""
+    return rows.where(u01(F.col(key), seed) < share)
 
 
 def train_eval_split(rows: DataFrame, requested: int, seed: int = 42, key: str = "audio_id") -> DataFrame:

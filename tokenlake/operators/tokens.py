@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenlake.functions.arrays import VOCABULARY, unique_ratio
+from tokenlake.operators.ranks import floor_quantile, global_rank
+from tokenlake.sources.clips import cut
 
 
 def codebook_counts(clips: DataFrame) -> DataFrame:
@@ -32,13 +34,14 @@ def rank_frequency(clips: DataFrame) -> DataFrame:
 def degeneracy(clips: DataFrame, n: int = 12, key: str = "audio_id") -> DataFrame:
     """key, n_codes, unique_ratio, repeat_frac, max_run of each clip's tokens.
 
-    A position is covered if it lies in an n-gram that occurs again in its clip. Grams of a clip are numbered by a
-    64-bit hash and compared in full. Runs are gaps and islands. A clip's positions meet by (clip, gram), not by clip.
+    A position is covered if it lies in an n-gram that occurs again in its clip. Grams meet by (clip, 64-bit hash); only
+    those that meet are compared in full. Runs are gaps and islands. A clip's positions meet by (clip, gram), not by clip.
     """
-    at = clips.select(key, "tokens", F.size("tokens").alias("len"))
-    grams = at.where(F.col("len") >= 2 * n).select(key, F.explode(F.expr(f"transform(sequence(1, len - {n - 1}), i -> struct(i as i, slice(tokens, i, {n}) as g))")).alias("x"))
-    grams = grams.select(key, "x.i", F.xxhash64("x.g").alias("h"), F.col("x.g").alias("g"))
-    again = grams.groupBy(key, "h", "g").agg(F.count("*").alias("c"), F.collect_list("i").alias("i")).where("c > 1").select(key, F.explode("i").alias("i"))
+    at = cut(clips.select(key, "tokens", F.size("tokens").alias("len")), "tokens")
+    grams = at.where(F.col("len") >= 2 * n).select(key, F.explode(F.expr(f"transform(sequence(1, len - {n - 1}), i -> struct(i as i, xxhash64(slice(tokens, i, {n})) as h))")).alias("x"))
+    met = grams.groupBy(key, "x.h").agg(F.count("*").alias("c"), F.collect_list("x.i").alias("at")).where("c > 1").select(key, F.explode("at").alias("i"))
+    full = met.join(at.select(key, "tokens"), key).select(key, "i", F.expr(f"slice(tokens, i, {n})").alias("g"))
+    again = full.groupBy(key, "g").agg(F.count("*").alias("c"), F.collect_list("i").alias("i")).where("c > 1").select(key, F.explode("i").alias("i"))
     covered = again.select(key, F.explode(F.expr(f"sequence(i, i + {n - 1})")).alias("p")).distinct().groupBy(key).agg(F.count("*").alias("covered"))
     islands = at.select(key, F.posexplode("tokens").alias("p", "v")).withColumn("island", F.col("p") - F.row_number().over(Window.partitionBy(key, "v").orderBy("p")))
     runs = islands.groupBy(key, "v", "island").agg(F.count("*").alias("run")).groupBy(key).agg(F.max("run").alias("max_run"))
@@ -46,6 +49,13 @@ def degeneracy(clips: DataFrame, n: int = 12, key: str = "audio_id") -> DataFram
     return out.select(key, "n_codes", "unique_ratio", F.coalesce(F.try_divide(F.coalesce("covered", F.lit(0)), F.col("n_codes")), F.lit(0.0)).alias("repeat_frac"), F.coalesce("max_run", F.lit(0)).cast("long").alias("max_run"))
 
 
+def rate_band(spoken: DataFrame, key: str = "audio_id") -> DataFrame:
+    """p05, median, p95 (floor index) and n of speech tokens per phone, over rows with more than 5 phones and 25 speech tokens."""
+    rates = spoken.where((F.col("n_phone") > 5) & (F.col("n_speech") > 25)).select(key, (F.col("n_speech") / F.col("n_phone")).alias("x"))
+    ranked = global_rank(rates, "x", key, total="_n").withColumnRenamed("_n", "n")
+    return ranked.agg(*[floor_quantile("x", p).alias(q) for q, p in (("p05", 0.05), ("median", 0.5), ("p95", 0.95))], F.count("*").alias("n"))
+
+
 def duration_verdict(n_phone: Column, n_speech: Column, p05: Column, median: Column, p95: Column) -> tuple[Column, Column]:
     """(ratio to the median rate, verdict)."""
     rate = F.when(n_phone > 0, n_speech / n_phone)

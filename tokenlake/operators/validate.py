@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenlake.functions.arrays import SAMPLE_RATE, VOCABULARY, expected_frames
@@ -40,6 +40,24 @@ def summary(validated: DataFrame) -> DataFrame:
     return validated.agg(F.count("*").alias("n_rows"), F.count_if(~bad).alias("n_ok"), F.count_if(bad).alias("n_errors"), ((F.count("*") > 0) & (F.count_if(bad) == 0)).alias("ok"))
 
 
+def errors(validated: DataFrame, position: str = "pos") -> DataFrame:
+    """A row per error, `id: reason`, with its position. A row without an id goes by its position."""
+    name = F.coalesce("audio_id", F.concat(F.lit("<row "), F.col(position), F.lit(">")))
+    return validated.where("reason is not null").select(position, F.concat(name, F.lit(": "), F.col("reason")).alias("error"))
+
+
+def validate_parquet(spark: SparkSession, path: str, position: str | None = None, tolerance: int = 1) -> DataFrame:
+    """A written release read again, its numbers in the release's types, and validated. Without a column for it, a row's
+    position is its place in the files.
+    """
+    rows = spark.read.parquet(path)
+    require_columns(rows, tuple(RELEASE.fieldNames()))
+    if position is None:
+        position = "pos"
+        rows = rows.withColumn(position, F.monotonically_increasing_id())
+    return validate(rows.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in RELEASE.fields}), position, tolerance)
+
+
 def require_valid(rows: DataFrame, position: str = "pos") -> DataFrame:
     """rows, if all are valid; an error before anything is written otherwise."""
     got = summary(validate(rows, position)).first()

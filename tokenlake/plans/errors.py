@@ -10,20 +10,26 @@ from tokenlake.operators import ranks, stats
 from tokenlake.plans.registry import query
 from tokenlake.sources.clips import CLIPS_SQL, UTTERANCES_SQL, clips, cut, table, utterances
 
-#: References are turns; the original's transcript lacks system turns and every 13th word, the reconstruction's every 7th.
+#: A letter that no turn holds: k words or letters of it for others, with deletions only or insertions only beside them,
+#: are as many edits as substitutions and deletions (or insertions) together, so that SQL has a closed form.
+NOVEL = "\u0298"
+#: References are turns; the original's transcript lacks system turns and every 13th word, and has NOVEL for every 11th from
+#: the 5th on; the reconstruction's has NOVEL for every 7th from the 3rd on, and one word more after every 17th.
 HYPS_SQL = UTTERANCES_SQL + """, norm as (select *, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(text, '\\p{P}', '', 'g'), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '^ | $', '', 'g') as ref from utterances),
     split as (select *, string_split(ref, ' ') as w from norm),
-    pairs as (select audio_id, role, ref, list_filter(w, lambda x, i: i % 13 <> 0) as wo, list_filter(w, lambda x, i: i % 7 <> 0) as wr, w from split where role <> 'system'),
-    counts as (select audio_id, (len(w) - len(wo))::bigint as w_err_orig, (len(w) - len(wr))::bigint as w_err_recon, len(w)::bigint as w_ref,
-    (length(ref) - length(array_to_string(wo, ' ')))::bigint as c_err_orig, (length(ref) - length(array_to_string(wr, ' ')))::bigint as c_err_recon, length(ref)::bigint as c_ref from pairs)"""
+    pairs as (select audio_id, role, ref, list_filter(w, lambda x, i: i % 13 <> 0) as kept, list_filter(w, lambda x, i: i % 13 <> 0 and i % 11 = 5) as so, list_filter(w, lambda x, i: i % 7 = 3) as sr, w from split where role <> 'system'),
+    counts as (select audio_id, (len(w) - len(kept) + len(so))::bigint as w_err_orig, (len(sr) + len(w) // 17)::bigint as w_err_recon, len(w)::bigint as w_ref,
+    (length(ref) - length(array_to_string(kept, ' ')) + length(array_to_string(so, '')))::bigint as c_err_orig, (length(array_to_string(sr, '')) + len(w) // 17 * 2)::bigint as c_err_recon, length(ref)::bigint as c_ref from pairs)"""
 
 
 def hypotheses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(references, hypotheses of the original, of the reconstruction)."""
     rows = utterances(spark, sf_dir).withColumn("ref", tx.normalize_transcript("text"))
     words = tx.word_array(F.col("ref"))
-    drop = lambda k: F.array_join(F.filter(words, lambda x, i: (i + 1) % k != 0), " ")
-    return rows.select("audio_id", "ref"), rows.where("role <> 'system'").select("audio_id", drop(13).alias("hyp_orig")), rows.select("audio_id", drop(7).alias("hyp_recon"))
+    swapped = lambda k, at: F.transform(words, lambda x, i: F.when((i + 1) % k == at, F.repeat(F.lit(NOVEL), F.char_length(x))).otherwise(x))
+    orig = F.array_join(F.filter(swapped(11, 5), lambda x, i: (i + 1) % 13 != 0), " ")
+    recon = F.array_join(F.transform(swapped(7, 3), lambda x, i: F.when((i + 1) % 17 == 0, F.concat(x, F.lit(f" {NOVEL}"))).otherwise(x)), " ")
+    return rows.select("audio_id", "ref"), rows.where("role <> 'system'").select("audio_id", orig.alias("hyp_orig")), rows.select("audio_id", recon.alias("hyp_recon"))
 
 
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(stats.clip_counts(r.join(o, "audio_id").join(e, "audio_id"), normalize=False), "counts")
 
 
-@query(f"with {HYPS_SQL} select audio_id, len(w)::bigint as n_ref, len(wo)::bigint as n_orig, len(wr)::bigint as n_recon from pairs")
+@query(f"with {HYPS_SQL} select audio_id, len(w)::bigint as n_ref, len(kept)::bigint as n_orig, (len(w) + len(w) // 17)::bigint as n_recon from pairs")
 def audit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, o, e = hypotheses(spark, sf_dir)
     n = lambda c: F.size(tx.word_array(F.col(c))).cast("long")
@@ -83,7 +89,7 @@ def draws_sql(source: str, value: str, stat: str, iters: int) -> str:
     select round(v[floor(0.025::double * len(v))::int + 1], 6) as lo, round(v[least(len(v) - 1, floor(0.975::double * len(v))::int) + 1], 6) as hi, len(v)::bigint as n_draws from sorted"""
 
 
-ITERS = 200
+ITERS = 2000
 SPEAKER_SQL = "speakers as (select doc_id as audio_id, quality::double + doc_id % 7 / 10.0::double as value from labels)"
 
 
@@ -105,7 +111,7 @@ def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {SPEAKER_SQL} select round(avg(value), 9) as mean, count(value) as n from speakers")
 def speaker_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return speakers(spark, sf_dir).agg(F.round(F.avg("value"), 9).alias("mean"), F.count("value").alias("n"))
+    return stats.mean(speakers(spark, sf_dir), "value").withColumn("mean", F.round("mean", 9))
 
 
 def exclusive_sql(p: str) -> str:
@@ -116,9 +122,17 @@ def exclusive_sql(p: str) -> str:
 
 @query(f"with {CLIPS_SQL}, ranked as (select duration as x, row_number() over (order by duration, audio_id) - 1 as rank, count(*) over () as n from clips) select round(avg(x), 6) as mean, {exclusive_sql('0.5')} as median, {exclusive_sql('0.05')} as p5, {exclusive_sql('0.95')} as p95 from ranked")
 def metric_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranks.global_rank(clips(spark, sf_dir).select("audio_id", F.col("duration").alias("x")), "x", "audio_id", total="n")
-    q = lambda p: F.round(ranks.exclusive_quantile(rows, "x", p), 6)
-    return rows.agg(F.round(F.avg("x"), 6).alias("mean"), q(0.5).alias("median"), q(0.05).alias("p5"), q(0.95).alias("p95"))
+    return rounded_dist(clips(spark, sf_dir).select("audio_id", F.col("duration").alias("x")), "audio_id")
+
+
+def rounded_dist(rows: DataFrame, key: str) -> DataFrame:
+    return ranks.distribution(rows, "x", key).select(*[F.round(c, 6).alias(c) for c in ("mean", "median", "p5", "p95")])
+
+
+@query("select round(avg(r_regionkey), 6) as mean, round(median(r_regionkey), 6) as median, min(r_regionkey)::double as p5, max(r_regionkey)::double as p95 from region")
+def metric_dist_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fewer than 20 values: the least and the greatest stand for the outer percentiles."""
+    return rounded_dist(table(spark, sf_dir, "region").select("r_regionkey", F.col("r_regionkey").cast("double").alias("x")), "r_regionkey")
 
 
 CASES = "(0.5, 2.0, 0.9, 0.95), (6.0, 9.0, 0.9, 0.95), (3.0, 7.0, 0.9, 0.95), (0.5, 2.0, 0.78, 0.83), (6.0, 9.0, 0.78, 0.83), (0.5, 2.0, 0.5, 0.7), (0.5, 2.0, null, null), (5.0, 6.0, null, null)"
@@ -131,6 +145,16 @@ def decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("lo", "hi", stats.decide(F.col("lo"), F.col("hi"), F.col("slo"), F.col("shi")).alias("verdict"))
 
 
+PLACE_SQL = "case when {lo} > {at} then 'entirely above' when {hi} < {at} then 'entirely below' else 'straddles' end"
+
+
+@query("select lo::double as lo, hi::double as hi, slo::double as slo, 'delta-WER CI [' || printf('%.2f', lo::double) || ', ' || printf('%.2f', hi::double) || '] ' || " + PLACE_SQL.format(lo="lo", hi="hi", at="5.0") + " || ' 5.0 pts' as wer_reason, case when slo is null then 'speaker similarity not computed' else 'speaker-sim CI [' || printf('%.3f', slo::double) || ', ' || printf('%.3f', slo_hi::double) || '] ' || " + PLACE_SQL.format(lo="slo", hi="slo_hi", at="0.8") + f" || ' 0.8' end as speaker_reason from (values {CASES}) t(lo, hi, slo, slo_hi)")
+def decide_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(f"select double(a) as lo, double(b) as hi, double(c) as slo, double(d) as shi from values {CASES} t(a, b, c, d)")
+    said = rows.withColumn("said", stats.decide_reasons(F.col("lo"), F.col("hi"), F.col("slo"), F.col("shi")))
+    return said.select("lo", "hi", "slo", F.col("said")[0].alias("wer_reason"), F.col("said")[1].alias("speaker_reason"))
+
+
 @query("select n, case when n < 3000 then 3000 when n < 8000 then 8000 when n < 20000 then 20000 end as next from (values (0), (2999), (3000), (8000), (19999), (20000)) t(n)")
 def expand_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("select n from values (0), (2999), (3000), (8000), (19999), (20000) t(n)").select("n", stats.next_rung(F.col("n")).alias("next"))
@@ -146,9 +170,17 @@ def audit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(stats.decide(F.col("lo"), F.col("hi"), null, null).alias("verdict"), "n_clips", F.round("delta_wer", 6).alias("delta_wer"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-@query("select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\p{P}', '', 'g'), '[^\\p{L}\\p{N}\\p{M}_\\s]', ' ', 'g'), '[\\s\\x0B]+', ' ', 'g'), '^ | $', '', 'g') as text from documents")
+#: Rows beside the documents, which hold no Arabic: letters with marks, letters to unify, punctuation, a lengthening mark.
+ARABIC = ["\u0643\u064e\u062a\u064e\u0628\u064e", "\u0623\u062d\u0645\u062f \u0625\u0644\u0649 \u0622\u062e\u0631", "\u0645\u062f\u0631\u0633\u0629\u060c \u0643\u0628\u064a\u0631\u0629\u061f", "\u0648\u0627\u062e\u0640\u0640\u0627  \u061b ok!"]
+ARABIC_ROWS = ", ".join(f"({-i}, '{t}')" for i, t in enumerate(ARABIC, 1))
+UNIFY_SQL = "translate(regexp_replace(text, '[\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed\u0640]', '', 'g'), '\u0623\u0625\u0622\u0649\u0629', '\u0627\u0627\u0627\u064a\u0647')"
+
+
+@query(f"with d as (select doc_id, {UNIFY_SQL} as text from (select doc_id, text from documents union all select * from (values {ARABIC_ROWS}) t(doc_id, text))) select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\p{{P}}', '', 'g'), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]', ' ', 'g'), '[\\s\\x0B]+', ' ', 'g'), '^ | $', '', 'g') as text from d")
 def normalize_ar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.normalize_transcript("text").alias("text"))
+    """The documents and a few rows of Arabic."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.sql(f"select bigint(a) as doc_id, b as text from values {ARABIC_ROWS} t(a, b)"))
+    return rows.select("doc_id", tx.normalize_transcript("text").alias("text"))
 
 
 @query("select doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(text, '–', '-'), '—', '-'), '‘', ''''), '’', ''''), '“', '\"'), '”', '\"'), '[\\s\\x0B]+', ' ', 'g')) as text from documents")
@@ -181,7 +213,7 @@ def char_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW = "('[1, 2, 3]'), ('4,5 6'), ('  7 8,,9  '), ('x y'), (''), ('[]'), ('[1,'), ('65535')"
 
 
-@query("select raw, case when raw = '[1, 2, 3]' then '1,2,3' when raw = '4,5 6' then '4,5,6' when raw = '  7 8,,9  ' then '7,8,9' when raw = '[]' then '' when raw = '65535' then '65535' end as parsed from (values " + RAW + ") t(raw)")
+@query("select raw, case when trim(raw) like '[%' then case when json_valid(trim(raw)) then array_to_string(from_json(trim(raw), '[\"INTEGER\"]'), ',') end when regexp_full_match(trim(raw), '[,\\s]*[0-9]+([,\\s]+[0-9]+)*[,\\s]*') then array_to_string(list_filter(regexp_split_to_array(trim(raw), '[,\\s]+'), lambda x: x <> ''), ',') end as parsed from (values " + RAW + ") t(raw)")
 def parse_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(f"select raw from values {RAW} t(raw)")
     return rows.select("raw", F.array_join(F.transform(tx.parsed_tokens(F.col("raw")), lambda t: t.cast("string")), ",").alias("parsed"))

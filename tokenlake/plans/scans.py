@@ -111,6 +111,14 @@ def validate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.summary(validate.validate(releases(spark, sf_dir)))
 
 
+@query(f"with {RELEASES_SQL} select pos, audio_id || ': ' || reason as error from validated where reason is not null")
+def validate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors of a release that was written and read again."""
+    path = src.scratch(spark, "release")
+    releases(spark, sf_dir).write.parquet(path)
+    return validate.errors(validate.validate_parquet(spark, path, "pos"))
+
+
 @query(f"with {RELEASES_SQL} select audio_id, pos from validated where reason = 'duplicate audio_id'")
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.duplicates(releases(spark, sf_dir)).select("audio_id", "pos")
@@ -132,6 +140,25 @@ def u01_blake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips(spark, sf_dir).select("audio_id", sampling.u01_blake(F.col("audio_id")).alias("u"))
 
 
+@query()
+def stratified_order_blake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested order by blake2b draws, which SQL lacks; tests hold it against a Python model."""
+    return sampling.stratified_order(clips(spark, sf_dir).select("audio_id", "channel", "duration"), draw=sampling.u01_blake).select("audio_id", "bucket", "channel", "rank")
+
+
+@query(f"with {CLIPS_SQL} select audio_id from clips where {U01_SQL.format(key='audio_id')} < 0.25")
+def random_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.random_subset(clips(spark, sf_dir).select("audio_id"), 0.25)
+
+
+@query("select count(*) as n, count(k) as n_k, sum(k)::bigint as total from (select (json_extract_string(props, '$.k'))::bigint as k from events)")
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records appended as JSON lines and read in full."""
+    path = src.scratch(spark, "jsonl")
+    src.append_json(table(spark, sf_dir, "events").select(F.from_json("props", "k long").alias("p")).select("p.k"), path)
+    return src.read_json_lines(spark, path, "k long").agg(F.count("*").alias("n"), F.count("k").alias("n_k"), F.sum("k").alias("total"))
+
+
 @query(f"with {CLIPS_SQL} select audio_id, {BUCKET_SQL}::bigint as bucket from clips")
 def duration_bucket_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips(spark, sf_dir).select("audio_id", duration_bucket(F.col("duration")).alias("bucket"))
@@ -147,9 +174,9 @@ def stratified_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.stratified_order(clips(spark, sf_dir).select("audio_id", "channel", "duration")).select("audio_id", "bucket", "channel", "rank", F.round("sort_key", 9).alias("sort_key"))
 
 
-@query(f"with {ORDER_SQL} select audio_id, bucket, channel from ordered where rank < 300")
+@query(f"with {ORDER_SQL} select audio_id, bucket, channel from ordered where rank < 3000")
 def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.audit_sample(clips(spark, sf_dir).select("audio_id", "channel", "duration"), 300).select("audio_id", "bucket", "channel")
+    return sampling.audit_sample(clips(spark, sf_dir).select("audio_id", "channel", "duration"), 3000).select("audio_id", "bucket", "channel")
 
 
 @query(f"with {CLIPS_SQL} select {BUCKET_SQL}::bigint as bucket, channel, count(*) as n from clips group by 1, 2")

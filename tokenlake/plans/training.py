@@ -10,7 +10,8 @@ from tokenlake.operators import prepare as pp
 from tokenlake.operators import ranks
 from tokenlake.plans.registry import query
 from tokenlake.plans.errors import LATIN, REASON_SQL
-from tokenlake.sources.clips import CLIPS_SQL, clips, table
+from tokenlake.operators import tokens as tk
+from tokenlake.sources.clips import CLIPS_SQL, clips, cut, table
 
 MOST, BASE = 896, pp.SPEECH_BASE
 EARLY_SQL = REASON_SQL.format(letters=LATIN, latin="false and", least=50, most=MOST - pp.OVERHEAD)
@@ -56,19 +57,17 @@ def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("audio_id", F.size("ids").alias("length"), digest("ids").alias("ids_md5"))
 
 
-@query("select count(*) as n, true as ok from range(65536)")
+@query(f"select count(*) as n, count(distinct code) = 65536 and bool_and(id = code + {BASE}) and min(code) = 0 and max(code) = 65535 as ok from (select range as code, range + {BASE} as id from range(65536))")
 def contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pp.contiguous(spark.range(65536).select(F.col("id").alias("code"), (F.col("id") + BASE).alias("id")))
 
 
 @query(f"with {PREPARED_SQL}, b as (select *, (row_number() over (partition by n order by audio_id) - 1) // 4 as batch, ((n + 7) // 8 * 8)::int as padded from kept) select audio_id, padded, {DIGEST.format('(ids || [0 for i in range(padded - n)])')} as ids_md5, {DIGEST.format('([-100 for i in range(start)] || ids[start + 1 :] || [-100 for i in range(padded - n)])')} as labels_md5, n as attended from b")
 def collate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of four rows of one length."""
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy("length").orderBy("audio_id")) - 1
-    rows = pp.kept(prepared(spark, sf_dir)).withColumn("batch", F.concat_ws(":", "length", F.floor(number / 4)))
-    got = pp.collate(rows)
+    """Batches of four rows of one length: ids are numbered first, the arrays join them last."""
+    rows = cut(pp.kept(prepared(spark, sf_dir)), "kept")
+    places = ranks.numbered(rows, "length", "audio_id").select("audio_id", F.concat_ws(":", "length", F.floor(F.col("number") / 4)).alias("batch"))
+    got = pp.collate(rows.join(places, "audio_id"))
     return got.select("audio_id", "padded", digest("input_ids").alias("ids_md5"), digest("labels").alias("labels_md5"), F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x).alias("attended"))
 
 
@@ -148,6 +147,31 @@ def train_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("warmup", F.expr("steps_per_epoch * 3 * 3 div 100"))
 
 
+RATE_SQL = PREPARED_SQL + """, spoken as (select audio_id, start - 7 as n_phone, n - start - 2 as n_speech from kept), rates as (select n_speech / n_phone as x, row_number() over (order by n_speech / n_phone, audio_id) - 1 as rank, count(*) over () as m from spoken where n_phone > 5 and n_speech > 25),
+    rate_band as (select max(x) filter (where rank = floor(0.05::double * (m - 1))) as p05, max(x) filter (where rank = floor(0.5::double * (m - 1))) as median, max(x) filter (where rank = floor(0.95::double * (m - 1))) as p95, max(m) as n from rates)"""
+
+
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """audio_id, n_phone, n_speech of prepared rows."""
+    around = len(pp.PREFIX) + len(pp.INFIX) + 2
+    return pp.kept(prepared(spark, sf_dir)).select("audio_id", (F.col("speech_start_idx") - around).alias("n_phone"), (F.col("length") - F.col("speech_start_idx") - 2).alias("n_speech"))
+
+
+@query(f"with {RATE_SQL} select round(p05, 9) as p05, round(median, 9) as median, round(p95, 9) as p95, n from rate_band")
+def rate_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speech tokens per phone token of the corpus itself, of rows with more than 5 phones and 25 codes."""
+    return tk.rate_band(spoken(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("p05", "median", "p95")})
+
+
+@query(f"with {RATE_SQL} select audio_id, round(n_speech / n_phone / median, 6) as ratio, case when n_phone <= 0 then '?' when n_speech / n_phone < p05 then 'TOO_SHORT' when n_speech / n_phone > p95 then 'TOO_LONG' else 'ok' end as verdict from spoken, rate_band")
+def duration_verdict_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against the band that the corpus gives."""
+    rows = cut(spoken(spark, sf_dir), "spoken")
+    banded = rows.join(F.broadcast(tk.rate_band(rows)))  # one row
+    ratio, verdict = tk.duration_verdict(*map(F.col, ("n_phone", "n_speech", "p05", "median", "p95")))
+    return banded.select("audio_id", F.round(ratio, 6).alias("ratio"), verdict.alias("verdict"))
+
+
 STATE = "552000000::double * 16 / 1073741824"
 
 
@@ -180,6 +204,12 @@ def eval_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals(spark, sf_dir).select("item_id", "category", "model", "seed", "n_codes", "duration_s", "hit_eos", "at_min_floor", "at_max_tokens")
 
 
+@query(f"with {GRID_SQL} select model, seed, category, count(*) as n from evals where category in ('c1', 'c3') group by 1, 2, 3")
+def eval_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some categories only."""
+    return pp.of_categories(evals(spark, sf_dir), "c1,c3").groupBy("model", "seed", "category").agg(F.count("*").alias("n"))
+
+
 @query(f"with {GRID_SQL} select model, category, count(*) as n, round(avg(unique_ratio), 9) as mean_unique, count(*) filter (where duration_verdict not in ('ok', '?')) as n_duration, count(*) filter (where degeneracy_verdict not in ('ok', '?')) as n_degenerate, count(*) filter (where at_min_floor) as n_floor, count(*) filter (where at_max_tokens) as n_max, count(*) filter (where not hit_eos) as n_no_eos from evals group by 1, 2")
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = lambda c: F.count_if(~F.col(c).isin("ok", "?"))

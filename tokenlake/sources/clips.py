@@ -26,8 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tokenlake-")
+    """A fresh folder under spark.checkpoint.dir, which all executors share; a local master may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tokenlake-")
     return f"{base.rstrip('/')}/tokenlake/{name}-{uuid.uuid4().hex}"
 
 
@@ -89,9 +93,13 @@ def references(rows: DataFrame, position: str = "pos") -> DataFrame:
     return rows.where(~is_blank(F.col("text"))).groupBy("audio_id").agg(F.max_by("text", position).alias("text"))
 
 
-def read_hypotheses(spark: SparkSession, path: str) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines in full: a torn line is an error."""
-    return spark.read.schema(HYPOTHESIS).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def read_hypotheses(spark: SparkSession, path: str) -> DataFrame:
+    return read_json_lines(spark, path, HYPOTHESIS)
 
 
 def last_wins(rows: DataFrame, key: str, value: str, position: str) -> DataFrame:

@@ -58,3 +58,32 @@ def table_html(title: str, rows: list[dict], audio: str | None = None) -> str:
     cell = lambda k, v: f'<td><audio controls src="{html.escape(str(v), quote=True)}"></audio></td>' if k == audio else f"<td>{html.escape('' if v is None else str(v))}</td>"
     body = "".join(f"<tr>{''.join(cell(k, r.get(k)) for k in names)}</tr>\n" for r in rows)
     return f"<!DOCTYPE html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{''.join(f'<th>{html.escape(n)}</th>' for n in names)}</tr>\n{body}</table>"
+
+
+def dataset_card(release: DataFrame, *, title: str, source: str, license: str, codec: str = "a neural codec") -> str:
+    """A release's card: front matter and its totals, from one row of aggregates."""
+    from tokenlake.functions.arrays import VOCABULARY
+
+    sums = release.agg(F.count("*").alias("n"), F.sum("duration").alias("seconds"), F.sum(F.size("tokens")).alias("tokens")).first()
+    distinct = release.select(F.explode("tokens").alias("t")).agg(F.count_distinct("t")).first()[0]
+    size = next((name for most, name in ((1_000, "n<1K"), (10_000, "1K<n<10K"), (100_000, "10K<n<100K")) if sums.n < most), "100K<n<1M")
+    front = ["---", f"license: {license}", "size_categories:", f"- {size}", "---"]
+    facts = [f"{sums.n:,} clips, {(sums.seconds or 0) / 3600:.1f} hours, {sums.tokens or 0:,} tokens.", f"{distinct:,} of {VOCABULARY:,} codes occur ({100 * distinct / VOCABULARY:.1f} %).", f"Encoded with {codec} from {source}. Audio is not part of this release."]
+    return "\n".join([*front, f"# {title}", "", *facts, ""])
+
+
+def publish(release: DataFrame, path: str, *, title: str, source: str, license: str) -> str:
+    """Write a release (`data`, Parquet) to a folder, read it again, validate it, and only then write its card there.
+
+    Nothing is uploaded: pushing a folder to a hub is the caller's step.
+    """
+    from tokenlake.operators import validate
+
+    release.write.mode("overwrite").parquet(f"{path}/data")
+    spark = release.sparkSession
+    got = validate.summary(validate.validate_parquet(spark, f"{path}/data")).first()
+    if not got.ok:
+        raise ValueError(f"{got.n_ok}/{got.n_rows} rows valid, {got.n_errors} errors: no card written")
+    card = dataset_card(spark.read.parquet(f"{path}/data"), title=title, source=source, license=license)
+    Path(path, "README.md").write_text(card, encoding="utf-8")
+    return card
