@@ -39,7 +39,9 @@ def degeneracy(clips: DataFrame, n: int = 12, key: str = "audio_id") -> DataFram
     """
     at = cut(clips.select(key, "tokens", F.size("tokens").alias("len")), "tokens")
     grams = at.where(F.col("len") >= 2 * n).select(key, F.explode(F.expr(f"transform(sequence(1, len - {n - 1}), i -> struct(i as i, xxhash64(slice(tokens, i, {n})) as h))")).alias("x"))
-    met = grams.groupBy(key, "x.h").agg(F.count("*").alias("c"), F.collect_list("x.i").alias("at")).where("c > 1").select(key, F.explode("at").alias("i"))
+    grams = cut(grams.select(key, "x.i", "x.h"), "grams")
+    twice = grams.groupBy(key, "h").agg(F.count("*").alias("c")).where("c > 1").select(key, "h")
+    met = grams.join(twice, [key, "h"], "left_semi")
     full = met.join(at.select(key, "tokens"), key).select(key, "i", F.expr(f"slice(tokens, i, {n})").alias("g"))
     again = full.groupBy(key, "g").agg(F.count("*").alias("c"), F.collect_list("i").alias("i")).where("c > 1").select(key, F.explode("i").alias("i"))
     covered = again.select(key, F.explode(F.expr(f"sequence(i, i + {n - 1})")).alias("p")).distinct().groupBy(key).agg(F.count("*").alias("covered"))

@@ -32,6 +32,11 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pp.prepare(clips(spark, sf_dir), MOST, letters=LATIN)
 
 
+def kept(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the kept rows. They are prepared once: a filter on the reason, pushed below, would make the ids again."""
+    return cut(prepared(spark, sf_dir).select("reject", *columns), "prepared").where("reject = ''").drop("reject")
+
+
 @query(f"with {PREPARED_SQL} select audio_id, reject, case when reject = '' then start else -1 end as speech_start_idx, case when reject = '' then n else 0 end as length, case when reject = '' then {DIGEST.format('ids')} else md5('[]') end as ids_md5 from prepared")
 def prepare_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(spark, sf_dir).select("audio_id", "reject", "speech_start_idx", "length", digest("input_ids").alias("ids_md5"))
@@ -65,7 +70,7 @@ def contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {PREPARED_SQL}, b as (select *, (row_number() over (partition by n order by audio_id) - 1) // 4 as batch, ((n + 7) // 8 * 8)::int as padded from kept) select audio_id, padded, {DIGEST.format('(ids || [0 for i in range(padded - n)])')} as ids_md5, {DIGEST.format('([-100 for i in range(start)] || ids[start + 1 :] || [-100 for i in range(padded - n)])')} as labels_md5, n as attended from b")
 def collate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of four rows of one length: ids are numbered first, the arrays join them last."""
-    rows = cut(pp.kept(prepared(spark, sf_dir)), "kept")
+    rows = kept(spark, sf_dir, "audio_id", "input_ids", "speech_start_idx", "length")
     places = ranks.numbered(rows, "length", "audio_id").select("audio_id", F.concat_ws(":", "length", F.floor(F.col("number") / 4)).alias("batch"))
     got = pp.collate(rows.join(places, "audio_id"))
     return got.select("audio_id", "padded", digest("input_ids").alias("ids_md5"), digest("labels").alias("labels_md5"), F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x).alias("attended"))
@@ -92,7 +97,7 @@ LENGTHS_SQL = PREPARED_SQL + ", r as (select n as x, row_number() over (order by
 
 @query(f"with {LENGTHS_SQL} select " + ", ".join(f"max(x) filter (where rank = floor({p}::double * (n - 1))) as {q}" for q, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + ", max(x) as longest from r")
 def seq_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranks.global_rank(pp.kept(prepared(spark, sf_dir)).select("audio_id", F.col("length").alias("x")), "x", "audio_id", total="n")
+    rows = ranks.global_rank(kept(spark, sf_dir, "audio_id", "length").withColumnRenamed("length", "x"), "x", "audio_id", total="n")
     return rows.agg(*[ranks.floor_quantile("x", p).alias(q) for q, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.max("x").alias("longest"))
 
 
@@ -154,7 +159,7 @@ RATE_SQL = PREPARED_SQL + """, spoken as (select audio_id, start - 7 as n_phone,
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """audio_id, n_phone, n_speech of prepared rows."""
     around = len(pp.PREFIX) + len(pp.INFIX) + 2
-    return pp.kept(prepared(spark, sf_dir)).select("audio_id", (F.col("speech_start_idx") - around).alias("n_phone"), (F.col("length") - F.col("speech_start_idx") - 2).alias("n_speech"))
+    return kept(spark, sf_dir, "audio_id", "speech_start_idx", "length").select("audio_id", (F.col("speech_start_idx") - around).alias("n_phone"), (F.col("length") - F.col("speech_start_idx") - 2).alias("n_speech"))
 
 
 @query(f"with {RATE_SQL} select round(p05, 9) as p05, round(median, 9) as median, round(p95, 9) as p95, n from rate_band")

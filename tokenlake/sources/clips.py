@@ -56,10 +56,11 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").alias("pos"), F.concat(F.lit("clip_"), F.expr("lpad(cast(doc_id as string), greatest(7, length(cast(doc_id as string))), '0')")).alias("audio_id"), F.col("source").alias("channel"), "lang",
         F.expr("case when doc_id % 53 = 0 then null when doc_id % 59 = 0 then '  ' else text end").alias("text"),
-        F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int")).alias("tokens"),
+        F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int")).alias("tokens"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("_n"),
     )
-    rows = rows.withColumn("n_samples", F.size("tokens").cast("long") * HOP + F.col("pos") % HOP + F.expr("case when pos % 97 = 0 then 640 else 0 end"))
-    return rows.withColumn("duration", F.col("n_samples").cast("double") / SAMPLE_RATE).withColumn("expected_frames", F.expr(f"greatest(1, n_samples div {HOP})"))
+    # The number of tokens is that of words: lengths need no token to be made.
+    rows = rows.withColumn("n_samples", F.col("_n").cast("long") * HOP + F.col("pos") % HOP + F.expr("case when pos % 97 = 0 then 640 else 0 end"))
+    return rows.drop("_n").withColumn("duration", F.col("n_samples").cast("double") / SAMPLE_RATE).withColumn("expected_frames", F.expr(f"greatest(1, n_samples div {HOP})"))
 
 
 #: The same view in DuckDB.
