@@ -75,32 +75,43 @@ class Encoder:
         return self.pack([t.id for t in self.model.tokenize(text)])
 
     def word(self, text: str) -> bytes:
-        """The ids of letters, with or without the space before them: one pre-token."""
+        """The ids of letters, with or without the mark of a space before them: one pre-token that is in no cache."""
+        if text.isascii() or text[0] == "Ġ" and text[1:].isascii():
+            return self.pack([t.id for t in self.model.tokenize(text)])
+        head, body = ("Ġ", text[1:]) if text[0] == "Ġ" and not self.lower else ("", text)
+        return self.pack([t.id for t in self.model.tokenize(head + body.encode().decode("latin-1").translate(self.latin))])
+
+    def cached(self, text: str) -> bytes:
+        """The ids of one pre-token (a space before it, or a line's end, as its mark), which is a chunk of its own as well."""
         got = self.new.get(text) or self.old.get(text)
         if got is None:
-            space = text[0] in " Ġ" and not self.lower
-            body = text[1:] if space else text
-            if not body.isascii():
-                body = body.encode().decode("latin-1").translate(self.latin)
-            got = self.pack([t.id for t in self.model.tokenize("Ġ" + body if space else body)])
+            got = self.piece(text if self.lower else text.replace("Ġ", " ").replace("Ċ", "\n"))
+            if len(text) <= 64:
+                self.new[text] = got
         return got
 
     def chunk(self, text: str) -> bytes:
         """The ids of what stands between white spaces; most often a word, or one with a full stop or comma."""
         got = self.old.get(text)
         if got is None:
-            core = text[:-1] if text[-1] in ".," else text
-            letters = core[1:] if core[:1] in (" ", "Ġ") and not self.lower else core
+            last = text[-1]
+            core = text[:-1] if last in self.ends else text
+            letters = core[1:] if not self.lower and core[:1] == "Ġ" else core
             if letters.isalpha() and text != "Ċ":
-                got = self.word(core)
-                if len(core) < len(text):
-                    got += self.ends[text[-1]]
-                    if len(core) <= 64:
-                        self.new.setdefault(core, got[: -len(self.ends[text[-1]])])
+                if core is text:
+                    got = self.word(text)
+                else:
+                    head = self.new.get(core) or self.old.get(core)
+                    if head is None:
+                        head = self.word(core)
+                        if len(core) <= 64:
+                            self.new[core] = head
+                    got = head + self.ends[last]
             elif self.lower:
-                got = b"".join(map(self.piece, WORD_SPLIT.findall(text)))
+                got = b"".join(map(self.cached, WORD_SPLIT.findall(text)))
             else:
-                got = b"".join(map(self.piece, BYTE_SPLIT.findall(text.replace("Ġ", " ").replace("Ċ", "\n"))))
+                pieces = BYTE_SPLIT.findall(text.replace("Ġ", " ").replace("Ċ", "\n"))
+                got = b"".join([self.cached(p.replace(" ", "Ġ").replace("\n", "Ċ")) for p in pieces])
         if len(self.new) >= CACHE:
             self.old, self.new = self.new, {}
         if len(text) <= 64:
@@ -122,10 +133,13 @@ class Encoder:
             chunks = CHUNK.findall(text)
         else:
             chunks = text.replace(" ", " Ġ").replace("\n", " Ċ ").split()
-        parts = list(map(self.new.get, chunks))
-        if None in parts:
-            parts = [p if p is not None else self.chunk(c) for p, c in zip(parts, chunks, strict=True)]
-        return b"".join(parts)
+        parts, at = list(map(self.new.get, chunks)), -1
+        try:
+            while True:
+                at = parts.index(None, at + 1)
+                parts[at] = self.chunk(chunks[at])
+        except ValueError:  # no further one
+            return b"".join(parts)
 
 
 _encoders: dict[str, Encoder] = {}
