@@ -204,7 +204,7 @@ def test_clashing_columns_give_way(spark):
     got = langid.identify(docs, model)
     assert len(got.columns) == len(set(got.columns)) == len(docs.columns) and got.where("score >= 0").count() == 31
     counts = quality.measured(docs)
-    assert len(counts.columns) == len(set(counts.columns)) and counts.where("n_words = 12").count() == 30
+    assert len(counts.columns) == len(set(counts.columns)) and counts.where("n_words = 14").count() == 30
     judged = quality.judged(counts, quality.thresholds(counts, spark.createDataFrame([], "doc_id long, quality int")))
     assert len(judged.columns) == len(set(judged.columns)) and judged.where("kept").count() == 30
     scored = ppm.score(docs, F.col("doc_id") < 20, keep=["doc_id", "n_tokens", "w"])
