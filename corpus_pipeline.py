@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm import langid, mixing, packing, quality, simhash
+from tokenlake.llm import langid, mixing, nearcopies, packing, quality
 from tokenlake.llm.common import crc_mod, saved, shared_dir, table
 from tokenlake.llm.queries import vocabulary
 
@@ -40,8 +40,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
-    return simhash.one_of_each(docs)
+    """Keep one document of each group of near copies: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    return nearcopies.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -213,12 +213,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs, one row of each group: that with the smallest doc_id (of equal ones, the smallest hash of the text). All columns stay."""
+    heads = grouped(docs).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))
+    return only(docs, heads.select("head.doc_id", "head.text_hash"))
+
+
+def only(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The rows of docs that heads name by doc_id (null: LAST) and text_hash, one for each.
+
+    heads are a table: Spark broadcasts it if its files are below its threshold, so that texts stay where they are.
+    """
     from pyspark.sql import Window
 
-    heads = grouped(docs).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("head")).select(F.col("head.doc_id").alias("_head_id"), F.col("head.text_hash").alias("_head_text"))
+    heads = saved(heads.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")), "heads")
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     own = dict(zip(docs.columns, named.columns, strict=True))
     rows = named.withColumn("_id", F.coalesce(F.col(own["doc_id"]).cast("long"), F.lit(LAST))).withColumn("_text", F.xxhash64(own["text"]))
-    kept = rows.join(heads.hint("merge"), (F.col("_id") == F.col("_head_id")) & (F.col("_text") == F.col("_head_text")))
+    kept = rows.join(heads, ["_id", "_text"])
     n = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.xxhash64(*own.values())))  # equal rows of one id
     return kept.withColumn("_n", n).where("_n = 1").select(*[F.col(c).alias(k) for k, c in own.items()])
