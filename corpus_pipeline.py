@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenlake.llm import langid, mixing, nearcopies, packing, quality
-from tokenlake.llm.common import crc_mod, saved, shared_dir, table
+from tokenlake.llm.common import crc_mod, shared_dir, table
 from tokenlake.llm.queries import vocabulary
 
 #: A document is rejected as of no language if it is `und` or fewer of its n-grams than this belong to the language.
@@ -28,15 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that pass the base rules and the risk-controlled cutoffs, learnt from the labelled ones among them.
-
-    Texts are measured once: the counts lie beside the documents' own columns in a table.
-    """
-    own = docs.columns
-    named = docs.select("text", "lang", "doc_id", *[F.col(c).alias(f"c_{c}") for c in own if c not in ("lang", "doc_id")])
-    counts = saved(quality.measured(named, [c for c in named.columns if c != "text"]), "measured")
-    kept = quality.judged(counts, quality.thresholds(counts, table(spark, sf_dir, "labels"))).where("kept")
-    return kept.select(*[F.col(c if c in ("lang", "doc_id") else f"c_{c}").alias(c) for c in own])
+    """Keep documents that pass the base rules and the risk-controlled cutoffs, learnt from the labelled ones among them."""
+    return quality.kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -421,3 +421,21 @@ def test_changes_are_the_fewest_edits():
         gone = Counter(x[1:].split("+")[0] for x in said if x[0] == "-")
         new = Counter(x.split("+")[1] for x in said if "+" in x)
         assert Counter(a) - gone + new == Counter(b)
+
+
+def test_kept_rows_equal_judged(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    more = docs.unionByName(docs.limit(3)).withColumn("key", F.lit("clash")).withColumn("n_words", F.lit("clash"))
+    more = more.unionByName(spark.createDataFrame([(None, None, None)] * 20, "doc_id long, text string, lang string"), allowMissingColumns=True)
+    hot = docs.where("doc_id = 5").withColumn("key", F.lit("clash")).withColumn("n_words", F.lit("clash"))
+    for _ in range(5):
+        hot = hot.unionByName(hot)
+    more = more.unionByName(hot)
+    for some in (more, more.limit(0)):
+        counts = quality.measured(some.select("doc_id", "text", "lang"), ["doc_id", "lang"])
+        want = quality.judged(counts, quality.thresholds(counts, labels)).where("kept").groupBy("doc_id").count().collect()
+        got = quality.kept_rows(some, labels)
+        assert got.columns == some.columns
+        assert Counter(r.doc_id for r in got.collect()) == {r.doc_id: r["count"] for r in want}
+    assert 0 < quality.kept_rows(docs, labels).count() < docs.count()
