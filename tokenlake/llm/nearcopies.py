@@ -10,7 +10,7 @@ million; `views` times `bits` must not exceed 384).
 
 Texts with equal shingle sets are one node whatever their number. Each variant's nodes are streamed in order and
 compared with the first of them only; then, since links join, nodes of one variant that are not in one component yet
-are compared with all others there. So no link between texts that meet is lost, and a group of thousands of near copies
+are compared with the others there. So no link between texts that meet is lost, and a group of thousands of near copies
 is not compared pair by pair. Pairs are screened on all 384 bits (an eighth more bits than 0.8 makes differ, 4 standard
 deviations) before their texts are fetched.
 
@@ -143,8 +143,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, s
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = saved(needed.join(nodes.hint("merge"), "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text")), "needed")
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_text"), "text")
-    # Spark broadcasts `needed` if its files are below its threshold, and else shuffles
-    texts = saved(own.join(needed, ["_id", "_text"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = saved(own.join(needed.hint("merge"), ["_id", "_text"]).select("node", "text").dropDuplicates(["node"]), "texts")
     for key in "ab":
         pairs = _dealt(pairs, texts.withColumnRenamed("text", f"t{key}"), key, 256)
 
@@ -184,15 +183,18 @@ def heads(docs: DataFrame, width: int = 5, similarity: float = 0.8, views: int =
     tried = saved(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
     links = saved(_verified(tried, nodes, docs, width, similarity), "links")
 
-    found = components(links)
-    at = met.select("variant", "node").unionByName(met.select("variant", F.col("lead").alias("node")).distinct())
-    at = saved(at.join(found.hint("merge"), "node", "left").select("variant", "node", F.coalesce("root", "node").alias("root")), "at")
+    found = saved(components(links), "found")
+    # pairs with a variant's first node have been screened; what is left are those of the others
+    at = saved(met.select("variant", "node").join(found.hint("merge"), "node", "left").select("variant", "node", F.coalesce("root", "node").alias("root")), "at")
     sizes = at.groupBy("variant", "root").agg(F.count("*").alias("n")).groupBy("variant").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k"))
     mixed = saved(at.join(sizes.where("k > 1").select("variant", "main").hint("merge"), "variant"), "mixed")
     minor = mixed.where("root <> main").select("variant", F.col("node").alias("other"), F.col("root").alias("other_root"))
     cross = mixed.join(minor.hint("merge"), "variant").where("root <> other_root and (root = main or node < other)")
     cross = cross.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    rest = saved(_screened(cross, nodes, most).join(tried.hint("merge"), ["a", "b"], "left_anti"), "rest")
+    rest = _screened(cross, nodes, most).unionByName(near).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
+    for key in "ab":
+        rest = rest.join(found.select(F.col("node").alias(key), F.col("root").alias(f"r{key}")).hint("merge"), key, "left")
+    rest = saved(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "rest")
     links = links.unionByName(_verified(rest, nodes, docs, width, similarity))
 
     found = components(links)

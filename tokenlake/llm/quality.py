@@ -202,8 +202,8 @@ def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that judged() keeps, all columns, with cutoffs learnt from their labelled ones.
 
     Texts are measured once, and only counts are written. The verdict depends on text and language alone, so it returns
-    to the rows by a hash of both: hashes that many rows have are broadcast (see joined() for the bound), the other
-    rejected ones too if Spark finds their files below its threshold; only beyond that are texts shuffled.
+    to the rows by a hash of both: hashes that many rows have are broadcast (see joined() for the bound), the rows of
+    the others are joined by a shuffle at every size.
     """
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     key = F.xxhash64("text", "lang", F.col("text").isNull(), F.col("lang").isNull()).alias("key")
@@ -213,6 +213,6 @@ def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     hot = F.col("n") > (said.agg(F.sum("n")).first()[0] or 0) // 512
     few = said.where(hot)
     rows = docs.select(key, *[F.col(c).alias(n) for c, n in names.items()])
-    rest = rows.join(F.broadcast(few.select("key")), "key", "left_anti").join(saved(said.where(~hot & ~F.col("kept")).select("key"), "rejected"), "key", "left_anti")
+    rest = rows.join(F.broadcast(few.select("key")), "key", "left_anti").join(saved(said.where(~hot & ~F.col("kept")).select("key"), "rejected").hint("merge"), "key", "left_anti")
     kept = rest.unionByName(rows.join(F.broadcast(few.where("kept").select("key")), "key", "left_semi"))
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])

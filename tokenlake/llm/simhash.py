@@ -220,7 +220,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def only(docs: DataFrame, heads: DataFrame) -> DataFrame:
     """The rows of docs that heads name by doc_id (null: LAST) and text_hash, one for each.
 
-    heads are a table: Spark broadcasts it if its files are below its threshold, so that texts stay where they are.
+    The join shuffles at every size, so that it behaves alike on small and large tables.
     """
     from pyspark.sql import Window
 
@@ -228,6 +228,6 @@ def only(docs: DataFrame, heads: DataFrame) -> DataFrame:
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     own = dict(zip(docs.columns, named.columns, strict=True))
     rows = named.withColumn("_id", F.coalesce(F.col(own["doc_id"]).cast("long"), F.lit(LAST))).withColumn("_text", F.xxhash64(own["text"]))
-    kept = rows.join(heads, ["_id", "_text"])
+    kept = rows.join(heads.hint("merge"), ["_id", "_text"])
     n = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.xxhash64(*own.values())))  # equal rows of one id
     return kept.withColumn("_n", n).where("_n = 1").select(*[F.col(c).alias(k) for k, c in own.items()])
