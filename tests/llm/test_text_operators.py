@@ -407,6 +407,32 @@ def test_whole_license_texts_and_their_differences(spark):
     assert [g[1:] for g in sorted(got[4])][0] == ("MIT-permission", 0, []) or sorted(got[4])[0][3] == ["-without+with", "-sublicense"]
 
 
+def test_compression_ranks_and_decides_the_license(spark):
+    every = licenses.TEMPLATES | licenses.TEXTS
+    mit = every["MIT-text"].replace("without limitation", "with limitation").replace("sublicense, ", "")
+    prose = "we discuss the license plates of cars and the conditions of their copies here"
+    rows = [(1, f"Copyright Somebody\n{mit}"), (2, every["BSD-2-Clause-text"].replace("retain", "keep")), (3, every["Apache-2.0"]), (4, prose), (5, every["Apache-2.0-header"])]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), every).collect()}
+    # the whole text saves more bytes than the notice that begins it, though the notice's words differ less
+    assert (got[1].license, got[1].changes) == ("MIT-text", ["-without+with", "-sublicense"])
+    assert (got[2].license, got[2].n_differences) == ("BSD-2-Clause-text", 1)
+    assert [got[i].license for i in (3, 4, 5)] == ["Apache-2.0", None, "Apache-2.0-header"]
+
+    import zstandard
+
+    for i, text in rows:
+        raw = " ".join(licenses.words(next(b for _, b in licenses.blocks(text, licenses.reach(every))))).encode()
+        size = {n: len(zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(licenses.words(t)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(raw)) for n, t in every.items()}
+        assert got[i].nearest == min(size, key=lambda n: (size[n], n))
+
+
+def test_a_template_that_saves_nothing_is_compared_too():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    own = licenses.words("Released under the MIT License. All rights reserved. " * 3)
+    for order in (sorted(licenses.TEMPLATES), sorted(licenses.TEMPLATES, reverse=True)):
+        assert [p[2] for p in scanner.places(own, order)] == ["MIT", "All-rights-reserved"] * 3
+
+
 def test_changes_are_the_fewest_edits():
     rng = random.Random(4)
     for _ in range(200):

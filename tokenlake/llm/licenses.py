@@ -1,13 +1,16 @@
 """License scans by conditional compression.
 
 Candidate blocks are the words around each cue of licensing, as many on both sides as the longest template's place may
-have, whatever the lines; blocks that meet are one. Every template is compared word by word with every block (bar those
-of which too many words are absent), and every place whose exact differences (words to insert, delete or replace) are
-few enough, a word similarity of 0.8 or more, is confirmed, and its differing words are given. Where templates are confirmed on the same words, the closest
-is given, of equals the longest. A place is compressed by itself and with its template as zstandard raw dictionary: the
-bytes that saves are given with it. A block without a place is a row too, with the most bytes that any template saves.
-
-Cases: a null or empty text has no block; further ties go to the template first by name; documents that share a doc_id are
+have, whatever the lines; blocks that meet are one. A block is compressed by itself and with each template as zstandard
+raw dictionary: the bytes that a template saves rank the templates, and the first of them is given as the nearest. Down
+the ranking, the exact differences (words to insert, delete or replace) confirm every place with a word similarity of
+0.8 or more, and the differing words are given. A template that saves nothing is last, but is tried (bar those of which
+too many words are absent, each an edit), so the ranking loses no place. Each confirmed place is compressed again, by
+itself and with its template: where templates are confirmed on the same words, that which saves most bytes of its place
+is given, of equals the earlier in the ranking. A block without a place is a row too, with the most bytes that any
+template saves.
+
+Cases: a null or empty text has no block; templates that save equally many bytes rank by name; documents that share a doc_id are
 scanned each; an empty table gives no row; whole texts are read, of any length; other columns are ignored.
 """
 
@@ -170,10 +173,16 @@ class Scanner:
         self.given = {n: zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n, w in self.words.items()}
         self.known: dict[str, list[tuple]] = {}
 
-    def places(self, own: list[str]) -> list[tuple]:
-        """(first word, end, template, edits) of every confirmed place, in the block's order."""
+    def ranking(self, raw: bytes) -> tuple[int, list[tuple[int, str]]]:
+        """Bytes of the block compressed by itself, and (minus the bytes saved, template) of all templates, most saved first."""
+        alone = len(self.plain.compress(raw))
+        return alone, sorted((len(c.compress(raw)) - alone, n) for n, c in self.given.items())
+
+    def places(self, own: list[str], order: list[str]) -> list[tuple]:
+        """(first word, end, template, edits, bytes by itself, bytes saved) of every confirmed place, in the block's order."""
         there, found = set(own), []
-        for n, template in self.words.items():
+        for rank, n in enumerate(order):
+            template = self.words[n]
             most = allowed(len(template))
             if not template or sum(w not in there for w in template) > most:
                 continue  # each absent word is an edit
@@ -181,29 +190,32 @@ class Scanner:
             for edits, end in sorted(ends_of(template, own, most)):
                 if all(abs(end - t) > len(template) // 2 for t in taken):
                     taken.append(end)
-                    found.append((edits / len(template), -len(template), n, start_of(template, own, end, edits), end, edits))
+                    first = start_of(template, own, end, edits)
+                    raw = " ".join(own[first:end]).encode()
+                    alone = len(self.plain.compress(raw))
+                    found.append((len(self.given[n].compress(raw)) - alone, rank, edits, first, end, n, alone))
         kept: list[tuple] = []
-        for _, _, n, first, end, edits in sorted(found):  # of templates on the same words, the closest
-            if all(2 * (min(end, e) - max(first, f)) < min(end - first, e - f) for f, e, _, _ in kept):
-                kept.append((first, end, n, edits))
+        for more, _, edits, first, end, n, alone in sorted(found):  # of templates on the same words, that which saves most
+            if all(2 * (min(end, e) - max(first, f)) < min(end - first, e - f) for f, e, *_ in kept):
+                kept.append((first, end, n, edits, alone, -more))
         return sorted(kept)
 
     def judge(self, block: str) -> list[tuple]:
         """(first word, end, license, bytes by itself, bytes saved, share of the template's words found, number of differing
-        words, those words) of every confirmed place, or one row of the whole block with no license.
+        words, those words, the block's nearest template) of every confirmed place, or one row of the whole block with no
+        license. Nearest is the first of the ranking, null if it saves nothing.
         """
         own = words(block)
         key = " ".join(own)
         if key not in self.known:
+            alone, ranked = self.ranking(key.encode())
+            most = max(0, -ranked[0][0]) if ranked else 0
+            nearest = ranked[0][1] if most else None
             rows = []
-            for first, end, n, edits in self.places(own):
-                raw = " ".join(own[first:end]).encode()
-                alone = len(self.plain.compress(raw))
-                rows.append((first, end, n, alone, alone - len(self.given[n].compress(raw)), 1 - edits / len(self.words[n]), edits, changes(self.words[n], own[first:end]) if edits else []))
+            for first, end, n, edits, small, less in self.places(own, [n for _, n in ranked]):
+                rows.append((first, end, n, small, less, 1 - edits / len(self.words[n]), edits, changes(self.words[n], own[first:end]) if edits else [], nearest))
             if not rows:
-                raw = key.encode()
-                alone = len(self.plain.compress(raw))
-                rows = [(0, len(own), None, alone, max([0, *(alone - len(c.compress(raw)) for c in self.given.values())]), 0.0, None, None)]
+                rows = [(0, len(own), None, alone, most, 0.0, None, None, nearest)]
             if len(self.known) > 50_000:
                 self.known.clear()
             self.known[key] = rows
@@ -225,12 +237,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
         import pyarrow as pa
 
         scanner = Scanner(templates)
-        names = ["doc_id", "block_start", "block_chars", "license", "alone_bytes", "saved_bytes", "similarity", "n_differences", "changes", "block"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.string())
+        names = ["doc_id", "block_start", "block_chars", "license", "alone_bytes", "saved_bytes", "similarity", "n_differences", "changes", "nearest", "block"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.string())
         for batch in batches:
             rows = [(d, *r) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in scanner.rows(t)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    schema = "doc_id long, block_start long, block_chars long, license string, alone_bytes long, saved_bytes long, similarity double, n_differences long, changes array<string>, block string"
+    schema = "doc_id long, block_start long, block_chars long, license string, alone_bytes long, saved_bytes long, similarity double, n_differences long, changes array<string>, nearest string, block string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(small_batches).mapInArrow(run, schema)
