@@ -342,6 +342,14 @@ def test_frequent(spark):
     assert ppm.frequent(df, 1000) == 1 and ppm.frequent(df, 30) == 2 and ppm.frequent(df, 10) == 3 and ppm.frequent(df, 2) == 10
 
 
+def test_grams_of_a_chunk_come_once_whatever_its_batches(spark):
+    texts = [f"text {i % 700} of {i % 13} words" for i in range(2500)]
+    rows = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "_chunk long, _text string")
+    got = Counter((r.chunk, r.gram) for r in ppm.asked(ppm.small_batches(rows), 3).collect())
+    want = {(i % 2, int.from_bytes(s[j : j + 4], "big")) for i, t in enumerate(texts) for s in [b"\n\n\n" + ppm.prepared(ppm.normal(t))] for j in range(len(s) - 3)}
+    assert got == Counter(want)
+
+
 # licenses
 
 

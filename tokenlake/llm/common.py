@@ -30,6 +30,19 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tokenlake/{context.applicationId}"
 
 
+def release() -> None:
+    """Give memory that this process no longer uses back to the system: idle workers stay alive, and count."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder in this application's."""
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenlake.llm.common import read_columns, saved, small_batches, written
+from tokenlake.llm.common import read_columns, release, saved, small_batches, written
 
 END = b"\n"
 #: What an escape takes from each distinct symbol's count. Of 0.1 to 0.9, the best for an eighth of sf0.01's training
@@ -218,8 +218,11 @@ def gram_counts(texts: DataFrame, order: int) -> DataFrame:
         import pyarrow as pa
 
         def summed(parts):
-            values, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return values, np.bincount(inverse, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+            values, many = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            sort = np.argsort(values)
+            values, many = values[sort], many[sort]
+            first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+            return values[first], np.add.reduceat(many, first)
 
         def counted(ready):
             values, many = np.unique(codes(ready, order)[0], return_counts=True)
@@ -239,16 +242,18 @@ def gram_counts(texts: DataFrame, order: int) -> DataFrame:
                     parts.append(counted(ready))
                     held += len(parts[-1][0])
                     ready, size = [], 0
-                    if held > 2 * BLOCK:
+                    if held > BLOCK:
                         parts = [summed(parts)]
                         held = len(parts[0][0])
-                    if held > 4 * BLOCK:
+                    if held > 2 * BLOCK:
                         yield from out(parts)
                         parts, held = [], 0
         if ready:
             parts.append(counted(ready))
         if parts:
             yield from out(parts)
+        del parts, ready
+        release()
 
     return texts.select("text").transform(small_batches).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -268,19 +273,26 @@ def frequent(counts: DataFrame, most: int) -> int:
 def asked(rows: DataFrame, order: int) -> DataFrame:
     """chunk, gram: the distinct grams of the texts (column _text) of each chunk."""
 
-    def run(key, table):
-        import pyarrow as pa
+    import pyarrow as pa
 
+    def run(key, batches):  # one batch of texts at a time
         parts, held = [], 0
-        for _, _, code, _ in runs([prepared(normal(t)) for t in table.column("_text").to_pylist()], order):
-            parts.append(distinct(code))
-            held += len(parts[-1])
-            if held > 4 * BLOCK:
-                parts = [distinct(np.concatenate(parts))]
-                held = len(parts[0])
+        for batch in batches:
+            for _, _, code, _ in runs([prepared(normal(t)) for t in batch.column("_text").to_pylist()], order):
+                parts.append(distinct(code))
+                held += len(parts[-1])
+                if held > 2 * BLOCK:
+                    parts = [distinct(np.concatenate(parts))]
+                    held = len(parts[0])
         grams = distinct(np.concatenate(parts))
-        return pa.table({"chunk": pa.array(np.full(len(grams), key[0].as_py(), np.int64)), "gram": pa.array(grams.view(np.int64))})
-
+        del parts
+        for i in range(0, len(grams), 1 << 16):
+            own = grams[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key[0].as_py(), np.int64)), pa.array(own.view(np.int64))], ["chunk", "gram"])
+        del grams
+        release()
+
+    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return rows.select("_chunk", "_text").groupBy("_chunk").applyInArrow(run, "chunk long, gram long")
 
 
@@ -400,25 +412,33 @@ def score(docs: DataFrame, training, *, keep: list[str] | None = None, heavy: in
         hashed = Table.hash(grams)
         sort = np.argsort(hashed)
         priced, values = Table(hashed[sort]), values[sort]
-        texts, known, part, tokens, rare_words, rare_counts, ends_at = [], [], [], [], [], [], [0]
-        for text in table.column("_text").to_pylist():
-            own = normal(text)
-            tokens.append(len(own) + 1)
-            texts.append(prepared(own))
-            many = Counter(own)
-            hit = [(n, known_logs[w]) for w, n in many.items() if w in known_logs]
-            known.append(sum(n for n, _ in hit) + (ends > 0))
-            part.append(sum(n * x for n, x in hit) + end)
-            rare_words += [w for w in many if w not in known_logs]
-            rare_counts += [n for w, n in many.items() if w not in known_logs]
-            ends_at.append(len(rare_words))
-        scores = np.zeros(len(texts))
-        for i, j, code, starts in runs(texts, order):
-            scores[i:j] += np.add.reduceat(values[priced.places(code)], starts)
+        del grams, hashed, sort
+        scores, known, part, tokens, rare_words, rare_counts, ends_at = [], [], [], [], [], [], [0]
+        for at in range(0, table.num_rows, 1000):  # so many texts at a time
+            texts = []
+            for text in table.column("_text").slice(at, 1000).to_pylist():
+                own = normal(text)
+                tokens.append(len(own) + 1)
+                texts.append(prepared(own))
+                many = Counter(own)
+                hit = [(n, known_logs[w]) for w, n in many.items() if w in known_logs]
+                known.append(sum(n for n, _ in hit) + (ends > 0))
+                part.append(sum(n * x for n, x in hit) + end)
+                rare_words += [w for w in many if w not in known_logs]
+                rare_counts += [n for w, n in many.items() if w not in known_logs]
+                ends_at.append(len(rare_words))
+            sums = np.zeros(len(texts))
+            for i, j, code, starts in runs(texts, order):
+                sums[i:j] += np.add.reduceat(values[priced.places(code)], starts)
+            scores.append(sums)
+        del priced, values
+        scores = np.concatenate(scores) if scores else np.zeros(0)
         rest = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["w", "n"])
         rest = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), rest)
         cols = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(part, pa.float64()), pa.array(scores), rest]
         own = [table.column(c) for c in keep]
+        del rare_words, rare_counts
+        release()
         return pa.table([*own, *cols], names=[*keep, "n_tokens", "known", "part", "score", "rest"])
 
     from pyspark.sql import types as T
