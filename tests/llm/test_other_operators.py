@@ -254,6 +254,42 @@ def test_near_copies_take_odd_rows(spark):
         nearcopies.heads(docs, views=20)
 
 
+def test_pairs_of_a_variant_are_screened_in_its_task(spark):
+    from tokenlake.llm import nearcopies
+
+    rng = random.Random(3)
+    rows, word = [], lambda base: base ^ sum(1 << rng.randrange(60) for _ in range(rng.choice((0, 1, 3, 9))))
+    for variant, size in [(5, 1), (6, 2), (7, 63), (8, 64), (9, 65), (10, 200), *[(20 + i, 3) for i in range(50)]]:
+        main = 1000 * variant
+        rows += [(variant, n, rng.choice((main, main, n, main + 1)), main, *[word(0b1011 << i) for i in range(6)]) for n in range(main, main + size)]
+    docs = spark.createDataFrame(rows, "variant long, node long, root long, main long, " + ", ".join(f"w{i} long" for i in range(6)))
+    found = docs.repartition(3, "variant").sortWithinPartitions("variant").mapInArrow(nearcopies._crossing(20), "a long, b long").collect()
+    want = {(min(x[1], y[1]), max(x[1], y[1])) for x in rows for y in rows if x[0] == y[0] and x[2] != y[2] and sum((p ^ q).bit_count() for p, q in zip(x[4:], y[4:], strict=True)) <= 20}
+    assert want and Counter((r.a, r.b) for r in found) == Counter(want)
+
+
+def test_components_at_once_are_those_of_the_star_rounds(spark):
+    from tokenlake.llm import nearcopies
+
+    rng = random.Random(4)
+    links = spark.createDataFrame([(rng.randrange(-50, 400), rng.randrange(-50, 400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1040)], "a long, b long")
+    roots = [{r.node: r.root for r in nearcopies._components(links, n).collect()} for n in (10**6, 0)]
+    assert [{k: v for k, v in x.items() if k != v} for x in roots] == [{k: v for k, v in roots[1].items() if k != v}] * 2 and len(roots[0]) > 100
+    assert nearcopies._components(links.limit(0), 10).count() == 0
+
+
+def test_a_sweep_is_one_small_query(spark):
+    cells = spark.createDataFrame([(f"s{i % 4}", f"l{i % 3}", 10 + i) for i in range(12)], "a string, b string, t long")
+    count = {}
+    for sweeps in (2, 6):
+        spark.sparkContext.setJobGroup(f"sweeps {sweeps}", "")
+        mixing.rake(cells, {"a": 0.5, "b": 0.8}, sweeps)
+        count[sweeps] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sweeps {sweeps}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    print(count)
+    assert count[6] - count[2] <= 4 * 4  # two windows' shuffles, the write, and no join
+
+
 def test_values_of_hot_nodes_are_dealt(spark):
     from tokenlake.llm import nearcopies
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenlake.llm.common import WORD, saved
@@ -57,13 +57,23 @@ def share_table(cells: DataFrame, dim: str, target: dict | float) -> DataFrame:
 
 def residual(raked: DataFrame, goals: dict[str, DataFrame]) -> float:
     """The largest difference between a value's share of the weights and its target, over all dimensions."""
-    whole = raked.agg(F.sum("w")).first()[0]
-    worst = 0.0
-    for d, goal in goals.items():
-        have = raked.groupBy(F.col(d).cast("string").alias("h")).agg((F.sum("w") / F.lit(whole or 1.0)).alias("have"))
-        both = goal.join(have, F.col("v").eqNullSafe(F.col("h")), "full")
-        worst = max(worst, both.agg(F.max(F.abs(F.coalesce("goal", F.lit(0.0)) - F.coalesce("have", F.lit(0.0))))).first()[0] or 0.0)
-    return worst
+    return _residual(_with_goals(raked, goals), list(goals))
+
+
+def _with_goals(cells: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
+    """cells with _g0, _g1, ...: the target share of the cell's value of each dimension."""
+    for i, (d, goal) in enumerate(goals.items()):
+        cells = cells.join(goal.select(F.col("v").alias("_v"), F.col("goal").alias(f"_g{i}")), F.col(d).cast("string").eqNullSafe(F.col("_v")), "left").drop("_v")
+    return cells
+
+
+def _residual(known: DataFrame, dims: list[str]) -> float:
+    """residual() of cells that have their goals, in one query."""
+    each = [F.struct(F.lit(i).alias("i"), F.col(d).cast("string").alias("v"), F.col(f"_g{i}").alias("goal")) for i, d in enumerate(dims)]
+    sums = known.select("w", F.explode(F.array(*each)).alias("x")).groupBy("x.i", "x.v").agg(F.sum("w").alias("have"), F.max("x.goal").alias("goal"))
+    whole = F.sum("have").over(Window.partitionBy("i"))
+    off = F.coalesce("goal", F.lit(0.0)) - F.coalesce(F.col("have") / F.when(whole != 0, whole).otherwise(1.0), F.lit(0.0))
+    return sums.select(F.abs(off).alias("off")).agg(F.max("off")).first()[0] or 0.0
 
 
 def rake(cells: DataFrame, targets: dict[str, dict | float], sweeps: int = 6, tolerance: float | None = None) -> DataFrame:
@@ -71,23 +81,24 @@ def rake(cells: DataFrame, targets: dict[str, dict | float], sweeps: int = 6, to
 
     Without a tolerance there are just so many sweeps; with one there may be more, until residual() is at most that, or
     no longer falls by a hundredth a sweep: some targets no weights can meet, such as one of a value without tokens.
+    Targets are joined to the cells once, so that a sweep is one query without joins, and a residual another: each
+    query costs the driver memory for its plan and its generated code.
     """
-    goals = {d: saved(share_table(cells, d, t), "goals") for d, t in targets.items()}
-    now = cells.withColumn("w", F.col("t").cast("double"))
+    goals = {d: share_table(cells, d, t) for d, t in targets.items()}
+    now = saved(_with_goals(cells, goals).withColumn("w", F.col("t").cast("double")), "goals")
     sweep, last = 0, float("inf")
     while tolerance is not None or sweep < sweeps:
-        for d, goal in goals.items():
-            sums = now.groupBy(F.col(d).cast("string").alias("v")).agg(F.sum("w").alias("have"))
-            scale = sums.join(goal.withColumnRenamed("v", "g"), F.col("v").eqNullSafe(F.col("g"))).select(F.col("v").alias("_v"), F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias("_scale"))
-            now = now.join(scale, F.col(d).cast("string").eqNullSafe(F.col("_v")), "left").withColumn("w", F.col("w") * F.coalesce("_scale", F.lit(0.0))).drop("_v", "_scale")
+        for i, d in enumerate(goals):
+            have = F.sum("w").over(Window.partitionBy(F.col(d).cast("string")))
+            now = now.withColumn("w", F.col("w") * F.coalesce(F.when(have > 0, F.col(f"_g{i}") / have).otherwise(0.0), F.lit(0.0)))
         now = saved(now, "raked")
         sweep += 1
         if tolerance is not None and sweep >= sweeps:
-            off = residual(now, goals)
+            off = _residual(now, list(goals))
             if off <= tolerance or off > 0.99 * last:
                 break
             last = off
-    return now
+    return now.drop(*[f"_g{i}" for i in range(len(goals))])
 
 
 def calibrate(raked: DataFrame, budget: float) -> DataFrame:

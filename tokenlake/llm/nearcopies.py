@@ -10,10 +10,14 @@ million; `views` times `bits` must not exceed 384).
 
 Texts with equal shingle sets are one node whatever their number. Each variant's nodes are streamed in order and
 compared with the first of them only; then, since links join, nodes of one variant that are not in one component yet
-are compared with the others there, in rounds: a node with one
+are compared with the others there. Pairs are screened on all 384 bits (an eighth more bits than 0.8 makes differ, 4
+standard deviations) before their texts are fetched; those of one variant inside the task that holds it, whose nodes
+bring their sketches, so no row is made of a pair that fails. Those that pass are decided by their texts in rounds: a node with one
 of them, then with eight more, and so on, until no pair of different components is left. So no link between texts that meet is lost, and a group of thousands of near copies
-is not compared pair by pair. Pairs are screened on all 384 bits (an eighth more bits than 0.8 makes differ, 4 standard
-deviations) before their texts are fetched.
+is not compared by its texts pair by pair.
+
+Components of at most a million links are joined in one task (an exact way like the other, that takes one job for
+some dozens of them), more by star rounds.
 
 Cases: null and empty texts and those without a word have the empty set, one node; null doc_ids count as larger than all
 others; rows that share a doc_id are handled each; an empty table gives no row; other columns may have any names.
@@ -114,6 +118,102 @@ def _followers(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(x[~first]) for x in (keys, nodes, leads)], ["variant", "node", "lead"])
 
 
+def _crossing(most: int, bucket: int = 64):
+    """A mapInArrow function over rows (variant, node, root, main, sketch) sorted by variant: the pairs a < b of nodes
+    of one variant and different roots whose sketches differ in at most `most` bits. Holds a variant's nodes.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def rows(a, b):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        def near(words, a, b):
+            return np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= most
+
+        def out(table):
+            keys, nodes, roots, mains = (table.column(i).to_numpy() for i in range(4))
+            words = np.stack([table.column(4 + i).to_numpy() for i in range(WORDS)], axis=1).view(np.uint64)
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            sizes = np.diff(np.r_[starts, len(keys)])
+            few = np.flatnonzero(np.repeat(sizes <= bucket, sizes))
+            for step in range(1, bucket):
+                a, b = few[:-step], few[step:]
+                same = keys[a] == keys[b]
+                if not same.any():
+                    break
+                a, b = a[same], b[same]
+                apart = roots[a] != roots[b]
+                a, b = a[apart], b[apart]
+                ok = near(words, a, b)
+                yield from rows(nodes[a[ok]], nodes[b[ok]])
+            for first, size in zip(starts[sizes > bucket], sizes[sizes > bucket], strict=True):
+                own = np.arange(first, first + size)
+                minor = own[roots[own] != mains[own]]
+                step = max(1, BLOCK // size)
+                for at in range(0, len(minor), step):
+                    part = minor[at : at + step]
+                    a, b = np.repeat(part, size), np.tile(own, len(part))
+                    apart = (roots[a] != roots[b]) & ((roots[b] == mains[b]) | (nodes[a] < nodes[b]))
+                    a, b = a[apart], b[apart]
+                    ok = near(words, a, b)
+                    yield from rows(nodes[a[ok]], nodes[b[ok]])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < 1 << 16:
+                continue
+            table = pa.Table.from_batches(held)
+            keys = table.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield from out(table.slice(0, cut))
+                held, n = table.slice(cut).to_batches(), len(keys) - cut
+            else:  # one variant has all of these
+                held, n = table.to_batches(), 0
+        if held:
+            table = pa.Table.from_batches(held)
+            if table.num_rows:
+                yield from out(table)
+
+    return run
+
+
+def _joined_at_once(batches: Iterator) -> Iterator:
+    """Of links a, b: node and root (the component's smallest node) of each node, by union-find in this task."""
+    import pyarrow as pa
+
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    for at in range(0, len(nodes), 1 << 16):
+        part = [(x, find(x)) for x in nodes[at : at + (1 << 16)]]
+        part = [(x, r) for x, r in part if x != r]
+        if part:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], ["node", "root"])
+
+
+def _components(links: DataFrame, at_once: int) -> DataFrame:
+    """components(), in one task if there are at most so many links; a component's smallest node may have no row."""
+    if links.count() > at_once:
+        return components(links)
+    return links.select("a", "b").coalesce(1).mapInArrow(_joined_at_once, "node long, root long")
+
+
 def _dealt(pairs: DataFrame, values: DataFrame, key: str, part: int | None = None) -> DataFrame:
     """pairs with the columns of values (node and others) for their node `key`.
 
@@ -170,7 +270,7 @@ def _most_bits(similarity: float) -> int:
     return int(n * p + 4 * (n * p * (1 - p)) ** 0.5)
 
 
-def heads(docs: DataFrame, width: int = 5, similarity: float = 0.8, views: int = 13, bits: int = 28) -> DataFrame:
+def heads(docs: DataFrame, width: int = 5, similarity: float = 0.8, views: int = 13, bits: int = 28, at_once: int = 1_000_000) -> DataFrame:
     """A row for each group of near copies: doc_id (null: LAST) and text_hash of its first row, n its rows."""
     if views * bits > 64 * WORDS:
         raise ValueError("the views need more bits than a fingerprint has")
@@ -184,15 +284,14 @@ def heads(docs: DataFrame, width: int = 5, similarity: float = 0.8, views: int =
     tried = saved(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
     links = saved(_verified(tried, nodes, docs, width, similarity), "links")
 
-    found = saved(components(links), "found")
+    found = saved(_components(links, at_once), "found")
     # pairs with a variant's first node have been screened; what is left are those of the others
     at = saved(met.select("variant", "node").join(found.hint("merge"), "node", "left").select("variant", "node", F.coalesce("root", "node").alias("root")), "at")
     sizes = at.groupBy("variant", "root").agg(F.count("*").alias("n")).groupBy("variant").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k"))
     mixed = saved(at.join(sizes.where("k > 1").select("variant", "main").hint("merge"), "variant"), "mixed")
-    minor = mixed.where("root <> main").select("variant", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    cross = mixed.join(minor.hint("merge"), "variant").where("root <> other_root and (root = main or node < other)")
-    cross = cross.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    rest, step = saved(_screened(cross, nodes, most).unionByName(near).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "open"), 1
+    marked = mixed.select("variant", "node", "root", "main").join(nodes.select("node", *W).hint("merge"), "node").select("variant", "node", "root", "main", *W)
+    cross = saved(marked.repartition("variant").sortWithinPartitions("variant").mapInArrow(_crossing(most), "a long, b long").distinct(), "cross")
+    rest, step = saved(cross.unionByName(near).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "open"), 1
     while True:
         for key in "ab":
             rest = rest.join(found.select(F.col("node").alias(key), F.col("root").alias(f"r{key}")).hint("merge"), key, "left")
@@ -203,7 +302,7 @@ def heads(docs: DataFrame, width: int = 5, similarity: float = 0.8, views: int =
             break
         more = saved(_verified(rest.where(F.col("place") <= step).select("a", "b"), nodes, docs, width, similarity), "links")
         links = saved(links.unionByName(more), "links")
-        found = saved(components(links), "found")
+        found = saved(_components(links, at_once), "found")
         rest, step = rest.where(F.col("place") > step).select("a", "b"), 8 * step
 
     grouped = nodes.join(found.hint("merge"), "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
