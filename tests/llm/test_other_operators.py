@@ -268,6 +268,59 @@ def test_pairs_of_a_variant_are_screened_in_its_task(spark):
     assert want and Counter((r.a, r.b) for r in found) == Counter(want)
 
 
+def test_no_row_is_made_of_the_pairs_of_a_group_that_are_not_similar_enough(spark, monkeypatch):
+    """240 copies of a text with 4 % of its words changed each: about 0.7 and less in pairs, so near to all in bits. 40 have
+    a copy of their own. Texts of other pairs than these are hardly ever compared."""
+    from tokenlake.llm import nearcopies
+
+    rng = random.Random(6)
+    base, copies = [f"base{i}" for i in range(150)], []
+    for i in range(240):
+        copies.append([f"new{i}x{j}" if j % 25 == (7 * i + j // 25) % 25 else w for j, w in enumerate(base)])
+    copies += [[*copies[i][:-2], f"own{i}", f"end{i}"] for i in range(40)]
+    rng.shuffle(copies)
+    texts = {i: " ".join(c) for i, c in enumerate(copies)}
+    sets = {i: set(nearcopies.shingles(t, 5).tolist()) for i, t in texts.items()}
+    close = sum(len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j]) for i in sets for j in sets if i < j)
+    compared, verified = [], nearcopies._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(nearcopies, "_verified", counted)
+    made, saved = {}, nearcopies.saved
+
+    def noted(df, name, *rest):
+        out = saved(df, name, *rest)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(nearcopies, "saved", noted)
+    got = {r.doc_id: r.n for r in nearcopies.heads(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    print(close, compared, made, len(got))
+    assert got == slow_heads(texts) and len(got) == 240 and close > 38000
+    # eight first nodes of each, and next to nothing of the index: before, a row of each pair that the bits let through
+    assert made.get("cross", 0) <= 300 and sum(compared) <= 10 * len(texts)
+
+
+def test_similar_sets_share_an_early_shingle(spark):
+    """The index leaves out no pair that is similar enough, whatever the sizes."""
+    from tokenlake.llm import nearcopies
+
+    texts = {1000 * k + d: t for k in range(3) for d, t in near_texts(k).items()} | {9000 + i: " ".join(f"same{j}" for j in range(i)) for i in range(20, 60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = nearcopies.saved(nearcopies.prints(docs, 5), "prints")
+    nodes = nearcopies.saved(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), *[F.min(c).alias(c) for c in ("size", *nearcopies.W)]), "nodes")
+    first = {r.node: r.first.doc_id for r in nodes.select("node", "first").collect()}
+    found = spark.createDataFrame([], "node long, root long")
+    at = nearcopies._mixed(nearcopies._prefixes(nodes.select("node"), nodes, docs, 5, 0.8), found, nodes)
+    got = {(r.a, r.b) for r in at.mapInArrow(nearcopies._crossing(384), "a long, b long").collect()}
+    sets = {n: set(nearcopies.shingles(texts[d], 5).tolist()) for n, d in first.items()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(want) > 100 and want <= got and len(got) < len(sets) * (len(sets) - 1) // 6
+
+
 def test_components_at_once_are_those_of_the_star_rounds(spark):
     from tokenlake.llm import nearcopies
 

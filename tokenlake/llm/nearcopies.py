@@ -9,12 +9,16 @@ wrongly. More views find more, more bits make chance meetings rarer (28 suit som
 million; `views` times `bits` must not exceed 384).
 
 Texts with equal shingle sets are one node whatever their number. Each variant's nodes are streamed in order and
-compared with the first of them only; then, since links join, nodes of one variant that are not in one component yet
-are compared with the others there. Pairs are screened on all 384 bits (an eighth more bits than 0.8 makes differ, 4
-standard deviations) before their texts are fetched; those of one variant inside the task that holds it, whose nodes
-bring their sketches, so no row is made of a pair that fails. Those that pass are decided by their texts in rounds: a node with one
-of them, then with eight more, and so on, until no pair of different components is left. So no link between texts that meet is lost, and a group of thousands of near copies
-is not compared by its texts pair by pair.
+screened against the first of them on all 384 bits (4 standard deviations more than 0.8 makes differ); a node's pairs
+with the eight of those that differ in the fewest bits are decided by their texts, and join components. What is left are
+pairs of different components that met: in a large group they are many, nearly all below 0.8, and too close for the
+bits to tell. No row is made of them. Where one passes the screen in its variant's task, only its nodes are named, and
+those go through an exact index: a node's shingles are ordered from the rarest among the named nodes on, and two sets
+that are similar enough share one so early in both that enough of each follows it (the prefixes of AllPairs and PPJoin).
+Pairs that meet at such a shingle and pass the screen are decided by their texts in rounds: a node with eight of
+them, then with 64 more, and so on, until no pair of different components is left. So no link between texts that meet is
+lost, and a group of thousands of near copies is not compared by its texts pair by pair. Inside a task the bits of a
+variant's or shingle's nodes of different components are still compared pair by pair.
 
 Components of at most a million links are joined in one task (an exact way like the other, that takes one job for
 some dozens of them), more by star rounds.
@@ -36,6 +40,10 @@ from tokenlake.llm.simhash import BLOCK, LAST, components, only
 
 WORDS = 6
 W = [f"w{i}" for i in range(WORDS)]
+#: A node's pairs with so many first nodes of variants are decided before the exact index; the index finds the others.
+LEADS = 8
+#: Sizes are whole numbers; what a product of one and the similarity may be off by.
+TINY = 1e-6
 #: Fixed values of the 64-bit mixer splitmix64.
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -64,7 +72,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id (null: LAST), text_hash, node (a hash of the shingle set) and the sketch's words of every row."""
+    """doc_id (null: LAST), text_hash, node (a hash of the shingle set), its size and the sketch's words of every row."""
     rows = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_hash"))
 
     def run(batches: Iterator) -> Iterator:
@@ -75,9 +83,10 @@ def prints(docs: DataFrame, width: int) -> DataFrame:
             sets = [shingles(t, width) for t in batch.column(0).to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
             words = np.array([sketch(s) for s in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(nodes), *[pa.array(words[:, i]) for i in range(WORDS)]], ["doc_id", "text_hash", "node", *W])
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(nodes), sizes, *[pa.array(words[:, i]) for i in range(WORDS)]], ["doc_id", "text_hash", "node", "size", *W])
 
-    return small_batches(rows).mapInArrow(run, "doc_id long, text_hash long, node long, " + ", ".join(f"{w} long" for w in W))
+    return small_batches(rows).mapInArrow(run, "doc_id long, text_hash long, node long, size long, " + ", ".join(f"{w} long" for w in W))
 
 
 def _variants(views: int, bits: int):
@@ -118,9 +127,12 @@ def _followers(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(x[~first]) for x in (keys, nodes, leads)], ["variant", "node", "lead"])
 
 
-def _crossing(most: int, bucket: int = 64):
+def _crossing(most: int, bucket: int = 64, similarity: float = 0.8):
     """A mapInArrow function over rows (variant, node, root, main, sketch) sorted by variant: the pairs a < b of nodes
     of one variant and different roots whose sketches differ in at most `most` bits. Holds a variant's nodes.
+
+    A column size, if there, leaves out pairs whose sizes are too different for that similarity; a column place after
+    it those that have too few shingles from there on (place: how many of the node's shingles come before the variant).
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -130,12 +142,22 @@ def _crossing(most: int, bucket: int = 64):
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        def near(words, a, b):
-            return np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= most
-
         def out(table):
             keys, nodes, roots, mains = (table.column(i).to_numpy() for i in range(4))
             words = np.stack([table.column(4 + i).to_numpy() for i in range(WORDS)], axis=1).view(np.uint64)
+            size, place = ([*(c.to_numpy() for c in table.columns[4 + WORDS :]), None, None])[:2]
+
+            def passing(a, b):
+                if size is not None:
+                    x, y = size[a], size[b]
+                    ok = np.minimum(x, y) >= similarity * np.maximum(x, y) - TINY
+                    if place is not None:
+                        same = similarity / (1 + similarity) * (x + y) - TINY
+                        ok &= (x - place[a] >= same) & (y - place[b] >= same)
+                    a, b = a[ok], b[ok]
+                ok = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= most
+                return rows(nodes[a[ok]], nodes[b[ok]])
+
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[starts, len(keys)])
             few = np.flatnonzero(np.repeat(sizes <= bucket, sizes))
@@ -146,20 +168,16 @@ def _crossing(most: int, bucket: int = 64):
                     break
                 a, b = a[same], b[same]
                 apart = roots[a] != roots[b]
-                a, b = a[apart], b[apart]
-                ok = near(words, a, b)
-                yield from rows(nodes[a[ok]], nodes[b[ok]])
-            for first, size in zip(starts[sizes > bucket], sizes[sizes > bucket], strict=True):
-                own = np.arange(first, first + size)
+                yield from passing(a[apart], b[apart])
+            for first, n in zip(starts[sizes > bucket], sizes[sizes > bucket], strict=True):
+                own = np.arange(first, first + n)
                 minor = own[roots[own] != mains[own]]
-                step = max(1, BLOCK // size)
+                step = max(1, BLOCK // n)
                 for at in range(0, len(minor), step):
                     part = minor[at : at + step]
-                    a, b = np.repeat(part, size), np.tile(own, len(part))
+                    a, b = np.repeat(part, n), np.tile(own, len(part))
                     apart = (roots[a] != roots[b]) & ((roots[b] == mains[b]) | (nodes[a] < nodes[b]))
-                    a, b = a[apart], b[apart]
-                    ok = near(words, a, b)
-                    yield from rows(nodes[a[ok]], nodes[b[ok]])
+                    yield from passing(a[apart], b[apart])
 
         held, n = [], 0
         for batch in batches:
@@ -183,6 +201,22 @@ def _crossing(most: int, bucket: int = 64):
     return run
 
 
+def _ends(pairs):
+    """A mapInArrow function: the nodes of the pairs a, b that the mapInArrow function `pairs` makes, once a task."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        found: set[int] = set()
+        for batch in pairs(batches):
+            found.update(np.unique(np.concatenate([c.to_numpy() for c in batch.columns])).tolist())
+        nodes = np.fromiter(found, np.int64, len(found))
+        for at in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + (1 << 16)])], ["node"])
+
+    return run
+
+
 def _joined_at_once(batches: Iterator) -> Iterator:
     """Of links a, b: node and root (the component's smallest node) of each node, by union-find in this task."""
     import pyarrow as pa
@@ -214,13 +248,14 @@ def _components(links: DataFrame, at_once: int) -> DataFrame:
     return links.select("a", "b").coalesce(1).mapInArrow(_joined_at_once, "node long, root long")
 
 
-def _dealt(pairs: DataFrame, values: DataFrame, key: str, part: int | None = None) -> DataFrame:
+def _dealt(pairs: DataFrame, values: DataFrame, key: str, part: int | None = None, keys: DataFrame | None = None) -> DataFrame:
     """pairs with the columns of values (node and others) for their node `key`.
 
     Values of a few bytes of the keys that many pairs have are broadcast (see joined()); wide ones (`part` given) are
-    copied once for every `part` pairs of their key, and the pairs dealt to the copies.
+    copied once for every `part` pairs of their key, and the pairs dealt to the copies. `keys`: rows with the same keys,
+    to count these without making the pairs once more.
     """
-    count = saved(pairs.groupBy(key).agg(F.count("*").alias("n")), "count")
+    count = saved((pairs if keys is None else keys).groupBy(key).agg(F.count("*").alias("n")), "count")
     total = count.agg(F.sum("n")).first()[0] or 0
     values = values.withColumnRenamed("node", key)
     if part is None:
@@ -231,22 +266,29 @@ def _dealt(pairs: DataFrame, values: DataFrame, key: str, part: int | None = Non
     return rows.join(copies.hint("merge"), [key, "salt"]).drop("salt")
 
 
-def _screened(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """The pairs whose sketches differ in at most `most` bits."""
-    near = saved(pairs.distinct(), "pairs")
-    for key in "ab":
-        near = _dealt(near, nodes.select("node", *[F.col(w).alias(f"{key}{w}") for w in W]), key)
-    return near.where(sum(F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in W) <= most).select("a", "b")
+def _screened(met: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """The pairs a (lead), b (follower) whose sketches differ in at most `most` bits, and in how many."""
+    near = pairs = saved(met.select("lead", F.col("node").alias("follower")).distinct(), "pairs")
+    for key in ("lead", "follower"):
+        near = _dealt(near, nodes.select("node", *[F.col(w).alias(f"{key}{w}") for w in W]), key, keys=pairs)
+    differ = sum(F.bit_count(F.col(f"lead{w}").bitwiseXOR(F.col(f"follower{w}"))) for w in W)
+    return near.select(F.col("lead").alias("a"), F.col("follower").alias("b"), differ.alias("differ")).where(F.col("differ") <= most)
+
+
+def _texts(named: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text (one of those with its shingles) of the nodes in `named`, each once there."""
+    needed = saved(named.join(nodes.hint("merge"), "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text")), "needed")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_text"), "text")
+    return own.join(needed.hint("merge"), ["_id", "_text"]).select("node", "text").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs whose shingle sets are as similar as that."""
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = saved(needed.join(nodes.hint("merge"), "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text")), "needed")
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_text"), "text")
-    texts = saved(own.join(needed.hint("merge"), ["_id", "_text"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = saved(_texts(needed, nodes, docs), "texts")
+    keys = pairs
     for key in "ab":
-        pairs = _dealt(pairs, texts.withColumnRenamed("text", f"t{key}"), key, 256)
+        pairs = _dealt(pairs, texts.withColumnRenamed("text", f"t{key}"), key, 256, keys)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -263,6 +305,46 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, s
     return small_batches(pairs.select("a", "b", "ta", "tb")).mapInArrow(run, "a long, b long")
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs of nodes of different components."""
+    own = pairs.columns
+    for key in "ab":
+        pairs = pairs.join(found.select(F.col("node").alias(key), F.col("root").alias(f"r{key}")).hint("merge"), key, "left")
+    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*own)
+
+
+def _mixed(rows: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows (variant, node and others) of variants with nodes of several components, as _crossing() takes them, sorted."""
+    others = [c for c in rows.columns if c not in ("variant", "node")]
+    member = saved(nodes.join(found.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), *W, "size"), "member")
+    at = saved(rows.join(member.hint("merge"), "node"), "at")
+    sizes = at.groupBy("variant", "root").agg(F.count("*").alias("n")).groupBy("variant").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k"))
+    mixed = at.join(sizes.where("k > 1").select("variant", "main").hint("merge"), "variant").select("variant", "node", "root", "main", *W, "size", *others)
+    return mixed.repartition("variant").sortWithinPartitions("variant")
+
+
+def _prefixes(named: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """variant (a shingle), node and place of the shingles that the nodes in `named` begin with, from the rarest among
+    those nodes on. Two of the nodes that are similar enough have a shingle here with `similarity` / (1 + `similarity`)
+    of their sizes' sum of both sets from there on. A shingle of a single node takes a place and has no row.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = shingles(text, width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), node)), pa.array(np.full(len(own), len(own)))], ["variant", "node", "size"])
+
+    grams = saved(small_batches(_texts(named, nodes, docs)).mapInArrow(run, "variant long, node long, size long"), "grams")
+    often = saved(grams.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1").withColumn("often", F.col("n")), "often")
+    shared = joined(grams, often, ["variant"], "n", grams.count(), "inner")
+    own = Window.partitionBy("node")
+    place = F.row_number().over(own.orderBy("often", "variant")) - 1 + F.col("size") - F.count("*").over(own)
+    return shared.withColumn("place", place.cast("long")).where(F.col("size") - F.col("place") >= F.col("size") * similarity - TINY).select("variant", "node", "place")
+
+
 def _most_bits(similarity: float) -> int:
     """Bits of the sketch that differ at that similarity (the angle between sets of equal size), and 4 standard deviations."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -276,28 +358,31 @@ def heads(docs: DataFrame, width: int = 5, similarity: float = 0.8, views: int =
         raise ValueError("the views need more bits than a fingerprint has")
     most = _most_bits(similarity)
     rows = saved(prints(docs, width), "prints")
-    nodes = saved(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n"), *[F.min(w).alias(w) for w in W]), "nodes")
+    nodes = saved(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("size", *W)]), "nodes")
     emitted = nodes.select("node", *W).mapInArrow(_variants(views, bits), "variant long, node long")
     met = saved(emitted.repartition("variant").sortWithinPartitions("variant", "node").mapInArrow(_followers, "variant long, node long, lead long"), "met")
 
-    near = saved(_screened(met.select(F.col("lead").alias("a"), F.col("node").alias("b")), nodes, most), "near")
-    tried = saved(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
-    links = saved(_verified(tried, nodes, docs, width, similarity), "links")
-
+    near = saved(_screened(met, nodes, most), "near")
+    place = F.row_number().over(Window.partitionBy("b").orderBy("differ", "a"))
+    near = saved(near.select("a", "b", place.alias("place")), "near")
+    tried = near.where(F.col("place") <= LEADS)
+    links = saved(_verified(tried.where("place = 1").select("a", "b"), nodes, docs, width, similarity), "links")
     found = saved(_components(links, at_once), "found")
-    # pairs with a variant's first node have been screened; what is left are those of the others
-    at = saved(met.select("variant", "node").join(found.hint("merge"), "node", "left").select("variant", "node", F.coalesce("root", "node").alias("root")), "at")
-    sizes = at.groupBy("variant", "root").agg(F.count("*").alias("n")).groupBy("variant").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k"))
-    mixed = saved(at.join(sizes.where("k > 1").select("variant", "main").hint("merge"), "variant"), "mixed")
-    marked = mixed.select("variant", "node", "root", "main").join(nodes.select("node", *W).hint("merge"), "node").select("variant", "node", "root", "main", *W)
-    cross = saved(marked.repartition("variant").sortWithinPartitions("variant").mapInArrow(_crossing(most), "a long, b long").distinct(), "cross")
-    rest, step = saved(cross.unionByName(near).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "open"), 1
+    more = saved(_apart(tried.where("place > 1").select("a", "b"), found), "more")
+    links = saved(links.unionByName(_verified(more, nodes, docs, width, similarity)), "links")
+    found = saved(_components(links, at_once), "found")
+
+    # what is left are a node's pairs with further first nodes of variants, screened by now, and those of the others
+    crossing = _crossing(most, similarity=similarity)
+    met = _mixed(met.select("variant", "node"), found, nodes).mapInArrow(_ends(crossing), "node long")
+    left = near.where(F.col("place") > LEADS)
+    named = saved(met.unionByName(left.select(F.col("a").alias("node"))).unionByName(left.select(F.col("b").alias("node"))).distinct(), "named")
+    prefixes = saved(_prefixes(named, nodes, docs, width, similarity), "prefixes")
+    cross = saved(_mixed(prefixes, found, nodes).mapInArrow(crossing, "a long, b long").distinct(), "cross")
+    rest, step = cross.join(tried.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), LEADS
     while True:
-        for key in "ab":
-            rest = rest.join(found.select(F.col("node").alias(key), F.col("root").alias(f"r{key}")).hint("merge"), key, "left")
-        apart = rest.withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b")).where("ra <> rb")
         place = F.row_number().over(Window.partitionBy("b").orderBy("a"))
-        rest = saved(apart.select("a", "b", place.alias("place")), "rest")
+        rest = saved(_apart(rest, found).withColumn("place", place), "rest")
         if rest.isEmpty():
             break
         more = saved(_verified(rest.where(F.col("place") <= step).select("a", "b"), nodes, docs, width, similarity), "links")
